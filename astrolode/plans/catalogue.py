@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import orphans, skewed
+from . import biology, near, orphans, skewed
 
-MODULES = [orphans, skewed]
+MODULES = [biology, near, orphans, skewed]
 
 
 def queries() -> dict:
