@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from ..storage import Scratch
-from . import groups, mixing, refine, tokens
+from . import abuse, groups, mixing, refine, tokens
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +61,29 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.draw(sized, targets), sized, targets)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def _judged(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = abuse.fit(docs, table(spark, folder, "doc_label"))
+    return abuse.score(docs.select(*columns, "text"), model)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id of the documents with an abusive passage."""
+    return _judged(spark, folder, "doc_id").where("score > 0").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and score, from 0 to 1; above 0.5 a document holds an abusive passage."""
+    return _judged(spark, folder, "doc_id").select("doc_id", F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("score"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each source, those with an abusive passage, and their rate."""
+    judged = _judged(spark, folder, "source").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") > 0).alias("abusive"))
+    return judged.withColumn("rate", F.round(F.col("abusive") / F.col("documents"), 6))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _CANON = """
     w AS (SELECT entry_id, regexp_replace(lower(type), '[^a-z]', '', 'g') AS t,
