@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import biology, near, orphans, skewed
+from . import biology, near, orphans, relational, skewed
 
-MODULES = [biology, near, orphans, skewed]
+MODULES = [relational, biology, near, orphans, skewed]
 
 
 def queries() -> dict:
@@ -15,4 +15,4 @@ def sql() -> dict:
     return {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
-flagship = skewed.wrong_counts
+flagship = relational.expected_by_region
