@@ -31,37 +31,41 @@ def refined_classes(records: DataFrame, key: str, cheap: Column, middle: Column,
     return salted_join(rows, groups, ["record"], spread=F.xxhash64(key)).distinct()
 
 
-# The full-width forms of the visible ASCII characters, and dashes that stand for a minus sign.
+# The full-width forms of the visible ASCII characters, dashes that stand for a minus sign, wide and
+# narrow spaces, and invisible characters, which are dropped.
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 _DASHES = "‐‑‒–—−﹣"
+_SPACES = "\u00a0\u2007\u2009\u200a\u202f\u3000"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+_FROM, _TO = _WIDE + _DASHES + _SPACES + _INVISIBLE, _NARROW + "-" * len(_DASHES) + " " * len(_SPACES)
 
 
-def _plain(c: str) -> Column:
-    text = F.translate(F.col(c), _WIDE + _DASHES + "　", _NARROW + "-" * len(_DASHES) + " ")
-    return F.lower(F.regexp_replace(text, r"\p{Cf}", ""))
+def plain_writing(records: DataFrame, columns: list[str]) -> DataFrame:
+    """records with these columns in narrow, lower-case characters without invisible ones."""
+    return records.withColumns({c: F.lower(F.translate(F.col(c), _FROM, _TO)) for c in columns})
 
 
 def designation_key(catalogue: str, columns: list[str], signed: tuple[str, ...] = ("dz",)) -> dict[str, Column]:
-    """The keys by which designations of a catalogue are refined: 'cheap', 'middle' and 'exact' columns.
+    """The keys by which designations of a catalogue, in plain writing, are refined: 'cheap', 'middle' and 'exact'.
 
     A record is its catalogue, its numbers in their order and its component letter, whatever the white space, case,
     punctuation, width of characters and the order of catalogue and number; for signed catalogues also the sign before
     the first number. Several columns may hold the designation, with or without the catalogue, in any order; a null or
     blank one is passed over. Without a catalogue the letters in the columns tell it.
     """
-    words = lambda c: F.regexp_extract_all(_plain(c), F.lit(r"(\p{L}+|\p{Nd}+)"), F.lit(1))
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(\p{L}+|\p{Nd}+)"), F.lit(1))
     blank = F.array().cast("array<string>")
-    named = F.nullif(F.regexp_replace(F.coalesce(_plain(catalogue), F.lit("")), r"[^\p{L}]", ""), F.lit(""))
+    named = F.nullif(F.regexp_replace(F.coalesce(F.col(catalogue), F.lit("")), r"[^\p{L}]", ""), F.lit(""))
     told = F.concat(*[F.filter(F.coalesce(words(c), blank), lambda w: w.rlike(r"^\p{L}{2,}$")) for c in columns])
-    name = F.coalesce(named, F.try_element_at(told, F.lit(1)), F.lit(""))
-    digits = lambda c: F.regexp_replace(F.coalesce(_plain(c), F.lit("")), r"[^\p{Nd}]", "")
+    name = F.when(named.isNotNull(), named).otherwise(F.coalesce(F.try_element_at(told, F.lit(1)), F.lit("")))
+    digits = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{Nd}]+", "")
     spread = lambda c: F.array_join(F.array_sort(F.split(digits(c), "")), "")
 
     def content(c: str) -> Column:
-        sign = F.when(name.isin(*signed), F.regexp_extract(_plain(c), r"^[^\p{Nd}]*?([-+])\s*\p{Nd}", 1)).otherwise(F.lit(""))
-        held = F.filter(words(c), lambda w: w != name)
-        return F.when(F.size(held) > 0, F.concat(sign, F.array_join(held, " ")))
+        sign = F.when(name.isin(*signed), F.regexp_extract(F.col(c), r"^[^\p{Nd}]*?([-+])\s*\p{Nd}", 1)).otherwise(F.lit(""))
+        held = F.array_join(F.filter(words(c), lambda w: w != name), " ")
+        return F.when(held != "", F.concat(sign, held))
 
     both = lambda f: F.array_join(F.array_distinct(F.array_sort(F.filter(F.array(*[f(c) for c in columns]), lambda x: x.isNotNull() & (x != "")))), "|")
     return {
