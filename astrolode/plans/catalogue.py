@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import biology, galaxy, near, orphans, relational, skewed
+from . import biology, galaxy, near, orphans, relational, skewed, stream
 
-MODULES = [relational, galaxy, biology, near, orphans, skewed]
+MODULES = [relational, galaxy, stream, biology, near, orphans, skewed]
 
 
 def queries() -> dict:
