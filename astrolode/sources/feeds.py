@@ -15,7 +15,8 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str | T.Struc
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wide = T.StructType([*fields.fields, T.StructField(bad, T.StringType())])
-    return spark.read.schema(wide).option("columnNameOfCorruptRecord", bad).json(path)
+    parsed = F.from_json("value", wide, {"columnNameOfCorruptRecord": bad})
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
 def json_document(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
@@ -39,7 +40,8 @@ def stations_of(systems: DataFrame, lists: Sequence[str], inner: Sequence[tuple[
     lists: array columns; inner: (array column, its field that is an array of the same kind). Null arrays count as empty.
     """
     top = [F.coalesce(F.col(c), F.array()) for c in lists]
-    deep = [F.flatten(F.transform(F.coalesce(F.col(a), F.array()), lambda e, f=f: F.coalesce(e[f], F.array()))) for a, f in inner]
+    within = lambda f: lambda e: F.coalesce(e[f], F.array())
+    deep = [F.flatten(F.transform(F.coalesce(F.col(a), F.array()), within(f))) for a, f in inner]
     return systems.select(*keep, F.explode(F.concat(*top, *deep)).alias(item))
 
 
