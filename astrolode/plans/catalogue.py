@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import biology, galaxy, near, orphans, relational, skewed, stream
+from . import biology, galaxy, model, near, orphans, relational, skewed, state, stream
 
-MODULES = [relational, galaxy, stream, biology, near, orphans, skewed]
+MODULES = [relational, galaxy, model, state, stream, biology, near, orphans, skewed]
 
 
 def queries() -> dict:
