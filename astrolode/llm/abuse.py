@@ -39,6 +39,9 @@ GROUPS = (
 #: What the weight of a kind of listed words is drawn to, as far as the labels don't say otherwise.
 EXPECTED = 1.5
 
+#: The usual threshold on the log-odds of a passage, and the abusive texts that it counts as.
+PRIOR_THRESHOLD, PRIOR_TEXTS = -1.5, 20
+
 _SPLIT = re.compile(r"[.!?:;\"«»“”„|()\[\]{}¶§]+|\n\s*\n|[0-9][0-9,.]*")
 _NAME = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][a-zß-ÿ]+")
 _SMALL = re.compile(r"(?<=[a-zß-ÿ,] )[a-zß-ÿ]+")
@@ -227,7 +230,8 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 4, steps:
     model = Model(float(bias), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, 0.0, names, cues)
     cued = np.array([not cues.isdisjoint(p) for p in passages])
     worst = np.array([score[own[cued[own]]].max(initial=bias) if own.size else bias for own in owners])
-    model.threshold = best_threshold(worst, y)
+    few = PRIOR_TEXTS / (PRIOR_TEXTS + int(y.sum()))  # a threshold fitted on few abusive texts is drawn to the usual one
+    model.threshold = (1 - few) * best_threshold(worst, y) + few * PRIOR_THRESHOLD
     return model
 
 
