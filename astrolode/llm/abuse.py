@@ -17,12 +17,12 @@ from .plainwriting import DISGUISE, MASK, plain
 
 # Words that are often abusive, by kind, in four languages; what they weigh is learnt, kind by kind.
 WORDS = {
-    "xinsultx": "arsehole asshole bastard bitch cretin cunt dickhead dumbass idiot imbecile maggot moron prick scum scumbag slut twat wanker whore"
-    " arschloch drecksau drecksack fotze hurensohn missgeburt schlampe wichser depp hure"
-    " connard connasse crétin enculé pétasse putain pute salaud salope abruti"
-    " cabrón gilipollas hijueputa imbécil maricón mierda puta zorra desgraciado pendejo",
+    "xinsultx": "arsehole asshole bastard bitch cretin cunt dickhead dumbass idiot imbecile maggot moron prick scum scumbag slut twat wanker whore shit piss"
+    " arschloch drecksau drecksack fotze hurensohn missgeburt schlampe wichser depp hure arsch scheißkerl mistkerl dreckskerl fresse scheiße"
+    " connard connasse crétin enculé pétasse putain pute salaud salope abruti gueule merde enfoiré"
+    " cabrón gilipollas hijueputa imbécil maricón mierda puta zorra desgraciado pendejo cojones joder hostia",
     "xlewdx": "blowjob boobs clit cock cum cunt dick fuck fucked fucking horny naked orgasm pussy tits titties suck"
-    " ficken fick möse schwanz titten geil bite baiser chatte couilles nichons seins polla coño follar tetas verga",
+    " ficken fick möse schwanz titten geil bite baiser baise foutre chatte couilles nichons seins polla coño follar tetas verga",
     "xsubhumanx": "animals cockroaches filth parasites rats savages subhuman vermin degenerates ungeziefer untermenschen abschaum"
     " vermine parasites sous-hommes racaille alimañas infrahumanos ratas escoria",
     "xharmx": "burn drown drowned gut hang kill rot shoot smash strangle beaten wipe exterminate verrecke erschlagen zündet vergasen crève brûle égorger quemad matar mueras muérete",
