@@ -122,3 +122,25 @@ def greedy_path(stations: DataFrame, start: Sequence[float], goal: Sequence[floa
         at = [best[0][c] for c in cols]
         out.append({"name": best[0][name], "hop": len(out) + 1, **dict(zip(cols, at, strict=True))})
     return out
+
+
+def components(edges: DataFrame, *, a: str, b: str, most: int = 60) -> DataFrame:
+    """node and the least node that it is linked to, directly or not; both columns of one ordered type.
+
+    Each turn takes the least label among neighbours and then the label of that label, so clusters of a wide span take
+    few turns. Raises if labels still change after ``most`` turns.
+    """
+    scratch = Scratch(edges.sparkSession, "components")
+    arcs = scratch.write(_both_ways(edges, a, b), "arcs")
+    held = scratch.write(arcs.groupBy("from").agg(F.min("to").alias("low")).select(F.col("from").alias("node"), F.least("from", "low").alias("label")), "held")
+    for _ in range(most):
+        told = salted_join(arcs, held.select(F.col("node").alias("from"), "label"), ["from"]).groupBy("to").agg(F.min("label").alias("low"))
+        near = held.join(told.select(F.col("to").alias("node"), "low"), "node").select("node", F.least("label", "low").alias("new"), F.col("label").alias("old"))
+        near = scratch.write(near, "near")
+        above = near.select(F.col("node").alias("new"), F.col("new").alias("above"))
+        step = salted_join(near, above, ["new"], "left").select("node", F.least("new", "above").alias("label"), (F.least("new", "above") != F.col("old")).alias("moved"))
+        step = scratch.write(step, "held")
+        held = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            return held
+    raise RuntimeError(f"labels still change after {most} turns")

@@ -201,4 +201,46 @@ def region_rollup(spark: S, folder: str) -> DataFrame:
     return l.withColumn("of_region", F.round(windows.share("n", "region_id"), 6))
 
 
+_MARKS = [114.0, 210.0, 270.0, 370.0, 700.0, 900.0, 1400.0]
+
+
+@query("""WITH b AS (SELECT record_id, surface_temp_k AS t, surface_temp_k + 5e0 / 9 * 1300 * pow(surface_temp_k / 1300, 1.2) AS top FROM spansh_galaxy_body WHERE surface_temp_k > 0),
+          r AS (SELECT record_id, list_transform(range(7), lambda k: CAST(CAST(CAST(t AS FLOAT) AS DOUBLE) + k * ((top - CAST(CAST(t AS FLOAT) AS DOUBLE)) / 7e0) AS FLOAT)) AS rungs FROM b)
+          SELECT record_id, CASE WHEN list_has_any(rungs, m) THEN 'ON' WHEN list_has_any(rungs, flatten(list_transform(m, lambda c: [nextafter(c, 0::FLOAT), nextafter(c, 'inf'::FLOAT)]))) THEN 'ONE_OFF' ELSE 'OFF' END AS landing
+          FROM r, (SELECT [114.0, 210.0, 270.0, 370.0, 700.0, 900.0, 1400.0]::FLOAT[] AS m)""")
+def ladder_landings(spark: S, folder: str) -> DataFrame:
+    """Single-precision ladders over temperatures, and whether a rung meets a mark to the last bit."""
+    from ..functions import floats
+
+    b = table(spark, folder, "spansh_galaxy_body", "record_id", "surface_temp_k").where("surface_temp_k > 0")
+    t = F.col("surface_temp_k")
+    top = t + F.lit(5.0) / F.lit(9.0) * 1300 * F.pow(t / 1300, F.lit(1.2))
+    return b.select("record_id", floats.touches(floats.ladder(t, top), _MARKS, F.lit(True)).alias("landing"))
+
+
+@query("SELECT s_suppkey, sector_at(s_acctbal, s_acctbal / 2, s_acctbal * 2) AS cell, distance3(s_acctbal, 0, 0, 0, 3, 4) AS d, mass_code_of(s_suppkey) AS code, shrunk_ratio(s_suppkey, 50) AS r FROM (SELECT s_suppkey, s_acctbal FROM supplier)".replace(
+    "sector_at(s_acctbal, s_acctbal / 2, s_acctbal * 2)", "CAST(floor((s_acctbal + 49985) / 1280) AS BIGINT) + 128 * CAST(floor((s_acctbal / 2 + 40985) / 1280) AS BIGINT) + 16384 * CAST(floor((s_acctbal * 2 + 24105) / 1280) AS BIGINT)").replace(
+    "distance3(s_acctbal, 0, 0, 0, 3, 4)", "sqrt(s_acctbal * s_acctbal + 25)").replace("mass_code_of(s_suppkey)", "substr('abcdefgh', CAST(s_suppkey & 7 AS INTEGER) + 1, 1)").replace("shrunk_ratio(s_suppkey, 50)", "least(round((s_suppkey + 20) / 70e0, 4), 1e0)"))
+def sql_functions(spark: S, folder: str) -> DataFrame:
+    """Functions with names of their own in SQL."""
+    from ..functions.sql_functions import register
+
+    register(spark)
+    table(spark, folder, "supplier", "s_suppkey", "s_acctbal").createOrReplaceTempView("__supplier")
+    return spark.sql("SELECT s_suppkey, sector_at(s_acctbal, s_acctbal / 2, s_acctbal * 2) AS cell, distance3(s_acctbal, 0, 0, 0, 3, 4) AS d, mass_code_of(s_suppkey) AS code, shrunk_ratio(s_suppkey, 50) AS r FROM __supplier")
+
+
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT system_id, x, y, z, floor(x / 12) AS i, floor(y / 12) AS j, floor(z / 12) AS k FROM system_exobio WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+          o AS (SELECT system_id, x, y, z, i + a.d AS i, j + b.d AS j, k + c.d AS k FROM s, (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d), (VALUES (-1), (0), (1)) c(d)),
+          e AS (SELECT s.system_id AS a, o.system_id AS b FROM s JOIN o USING (i, j, k) WHERE s.system_id <> o.system_id AND (s.x - o.x) ** 2 + (s.y - o.y) ** 2 + (s.z - o.z) ** 2 <= 25),
+          r(node, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other) SELECT node, min(other) AS label FROM r GROUP BY node""")
+def clusters(spark: S, folder: str) -> DataFrame:
+    """Single-link clusters of systems within 5 ly of each other."""
+    from ..operators.proximity import radius_pairs
+
+    p = table(spark, folder, "system_exobio", "system_id", *XYZ).na.drop(subset=XYZ).distinct().select(F.lit(0).alias("kind"), F.col("system_id").alias("id"), *XYZ)
+    pairs = radius_pairs(p, 5.0, coordinates=XYZ).select(F.col("id").alias("a"), F.col("near_id").alias("b"))
+    return graphs.components(pairs, a="a", b="b")
+
+
 QUERIES, SQL = query.queries, query.sql
