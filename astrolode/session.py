@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +28,25 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "6g
         .config("spark.sql.warehouse.dir", "/tmp/astrolode-warehouse")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the workers of a session, once, so that none needs it installed or on its path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="astrolode-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "astrolode.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.join("astrolode", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

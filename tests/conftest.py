@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from astrolode.session import local_session  # noqa: E402
+from astrolode.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, 4, "4g", "tests")
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     return s
 
 
