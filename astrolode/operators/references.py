@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bitmaps import Bitmap
-from .skew import salted_join
+from ..storage import Scratch
+from .skew import hottest, salted_join
 
 #: Rows of both sides that a key range is meant to hold before repeated keys are merged.
 RANGE_ROWS = 1 << 17
 
-_LEFT = "target string, key string, month int, known boolean, open_from long, first_from long"
+_LEFT = "target string, key string, month int, n long, known boolean, open_from long, first_from long"
 
 
 def _uncovered(children: pa.Table, parents: pa.Table) -> pa.Table:
@@ -32,17 +33,20 @@ def _uncovered(children: pa.Table, parents: pa.Table) -> pa.Table:
     known[at_parent] = True
     month, start = children["month"].to_numpy(), children["month_start"].to_numpy()
     order = np.argsort(month, kind="stable")
-    codes, months = [], []
+    codes, months, numbers, n_of = [], [], [], children["n"].to_numpy()
     for part in np.split(order, np.flatnonzero(np.diff(month[order])) + 1):
         if part.size:
             left = Bitmap.of(at_child[part]).and_not(Bitmap.of(np.flatnonzero(open_from <= start[part[0]]))).codes()
+            count = np.zeros(n, np.int64)
+            count[at_child[part]] = n_of[part]
             codes.append(left)
+            numbers.append(count[left])
             months.append(np.full(left.size, month[part[0]], np.int32))
     left = np.concatenate(codes) if codes else np.empty(0, np.int64)
     target = (children if children.num_rows else parents)["target"][0].as_py() if n else ""
     return pa.table(
         {
-            "target": pa.array([target] * left.size, pa.string()), "key": keys.dictionary.take(pa.array(left)), "month": pa.array(np.concatenate(months) if months else [], pa.int32()),
+            "target": pa.array([target] * left.size, pa.string()), "key": keys.dictionary.take(pa.array(left)), "month": pa.array(np.concatenate(months) if months else [], pa.int32()), "n": pa.array(np.concatenate(numbers) if numbers else [], pa.int64()),
             "known": pa.array(known[left]), "open_from": pa.array(open_from[left], pa.int64()), "first_from": pa.array(first_from[left], pa.int64()),
         }
     )
@@ -74,19 +78,23 @@ def dangling(refs: DataFrame, parents: DataFrame, *, range_rows: int = RANGE_ROW
     n = max(1, -(-(refs.count() + spans.count()) // range_rows))
     ranged = lambda df: df.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
     start = F.when(F.col("month") < 0, F.lit(early)).otherwise(micros(F.make_timestamp(F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))))
-    wanted = ranged(refs.select("target", "key", "month").distinct().withColumn("month_start", start))
+    wanted = ranged(refs.groupBy("target", "key", "month").agg(F.count(F.lit(1)).alias("n")).withColumn("month_start", start))
     live = ranged(
         spans.groupBy("target", "key").agg(
             F.min(F.when(F.col("live_to").isNull(), micros("live_from"))).alias("open_from"), F.min(F.coalesce(micros("live_from"), F.lit(early))).alias("first_from")
         )
     )
     left = wanted.groupBy("target", "range").cogroup(live.groupBy("target", "range")).applyInArrow(_uncovered, _LEFT)
+    left = Scratch(spark, "dangling").write(left, "uncovered")  # read for its hot keys and for its rows
 
-    found = salted_join(refs, left, ["target", "key", "month"], spread=F.xxhash64("child_id", "at"))
+    on = ["target", "key", "month"]
+    found = salted_join(refs, left.drop("n"), on, spread=F.xxhash64("child_id", "at"), hot=hottest(left, on, "n"))
     t = micros("at")
     found = found.where(F.coalesce(t < F.col("open_from"), F.lit(True))).withColumn(
         "reason", F.when(~F.col("known"), "missing").when(t < F.col("first_from"), "late").otherwise("deleted")
     ).select("child_field", "child_id", "target", "key", "at", "reason")
     closed = spans.where("live_from IS NOT NULL AND live_to IS NOT NULL").groupBy("target", "key", "live_to").agg(F.min("live_from").alias("live_from"))
-    dead = salted_join(found, closed, ["target", "key"], "left_anti", spread=F.xxhash64("child_id", "at"), condition=(F.col("reason") == "deleted") & (F.col("live_from") <= F.col("at")) & (F.col("live_to") > F.col("at")))
-    return dead.select("child_field", "child_id", F.date_format("at", "yyyy-MM").alias("ref_month"), "reason").distinct()
+    hot = hottest(left.where("known").groupBy("target", "key").agg(F.sum("n").alias("n")), ["target", "key"], "n")
+    dead = salted_join(found, closed, ["target", "key"], "left_anti", spread=F.xxhash64("child_id", "at"), hot=hot, condition=(F.col("reason") == "deleted") & (F.col("live_from") <= F.col("at")) & (F.col("live_to") > F.col("at")))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("at") / 86400).cast("int"))  # of UTC, whatever the session's zone
+    return dead.select("child_field", "child_id", F.date_format(day, "yyyy-MM").alias("ref_month"), "reason").distinct()

@@ -49,18 +49,24 @@ def chunked_distinct(df: DataFrame, keys: list[str], item: str, *, chunk_rows: i
 
 def hot_keys(df: DataFrame, on: list[str], *, rows_per_task: int = 100_000) -> DataFrame:
     """The at most MOST_HOT keys with the most rows among those with over rows_per_task, each with the parts to split it into."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > rows_per_task)
-    return counts.orderBy(F.desc("__rows")).limit(MOST_HOT).select(*on, F.ceil(F.col("__rows") / rows_per_task).cast("int").alias("__parts"))
+    return hottest(df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")), on, "__rows", rows_per_task=rows_per_task)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, spread: Column | None = None, rows_per_task: int = 100_000, condition: Column | None = None) -> DataFrame:
+def hottest(counts: DataFrame, on: list[str], rows: str, *, rows_per_task: int = 100_000) -> DataFrame:
+    """hot_keys() of counts that are known already: one row per key, and its number of rows."""
+    hot = counts.where(F.col(rows) > rows_per_task).orderBy(F.desc(rows)).limit(MOST_HOT)
+    return hot.select(*on, F.ceil(F.col(rows) / rows_per_task).cast("int").alias("__parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, spread: Column | None = None, rows_per_task: int = 100_000, condition: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """left join right on equal columns, where some keys may hold a large share of left.
 
     Rows of hot keys (hot_keys(): a bounded list, hence broadcast) are spread over several tasks by a hash, and the
     rows of right with these keys are repeated for each. ``how`` is inner, left, left_semi or left_anti. condition may
-    use columns of both sides whose names differ. Rows with null keys match nothing.
+    use columns of both sides whose names differ. Rows with null keys match nothing. hot: the result of hottest(), where
+    counts are at hand; else left is read once more to count its keys.
     """
-    hot = F.broadcast(hot_keys(left.na.drop(subset=on), on, rows_per_task=rows_per_task))
+    hot = F.broadcast(hot_keys(left.na.drop(subset=on), on, rows_per_task=rows_per_task) if hot is None else hot)
     spread = F.xxhash64(*left.columns) if spread is None else spread
     a = left.withColumn("__spread", spread).join(hot, on, "left").withColumn("__salt", F.coalesce(F.pmod("__spread", F.col("__parts").cast("long")), F.lit(0)).cast("int")).drop("__spread", "__parts")
     b = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
