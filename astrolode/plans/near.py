@@ -21,11 +21,13 @@ def found(spark: SparkSession, folder: str, radius: float = RADIUS_LY) -> DataFr
     own = carriers.na.drop(subset=XYZ).select("callsign", *XYZ)
     named = systems.select("system", *XYZ).where("system IS NOT NULL").distinct()
     lent = salted_join(carriers.where("x IS NULL OR y IS NULL OR z IS NULL").select("callsign", "system"), named, ["system"]).select("callsign", *XYZ)
-    carriers = own.unionAll(lent).select("callsign", *[(F.col(c) + F.lit(0.0)).alias(c) for c in XYZ])  # no -0.0: equal places must be equal keys
+    scratch = Scratch(spark, "pairs")
+    # no -0.0: equal places must be equal keys
+    carriers = scratch.write(own.unionAll(lent).select("callsign", *[(F.col(c) + F.lit(0.0)).alias(c) for c in XYZ]), "carriers")
     # many carriers lie at one place: places are joined, callsigns are put in at the end
     places = carriers.select(*XYZ).distinct().select(F.lit(1).alias("kind"), F.lit(0).alias("id"), *XYZ)
     points = systems.select("system_id", *[(F.col(c) + F.lit(0.0)).alias(c) for c in XYZ]).distinct().select(F.lit(0).alias("kind"), F.col("system_id").alias("id"), *XYZ)
-    pairs = Scratch(spark, "pairs").write(radius_pairs(points.unionAll(places), radius, coordinates=XYZ))  # read twice
+    pairs = scratch.write(radius_pairs(points.unionAll(places), radius, coordinates=XYZ))  # read twice
     twins = pairs.where("near_kind = 0").select(F.col("id").alias("system_id"), F.lit("system").alias("near_kind"), F.col("near_id").cast("string").alias("near_key"))
     by_place = pairs.where("near_kind = 1").select("id", *XYZ)
     ships = salted_join(carriers, by_place, XYZ, spread=F.xxhash64("callsign")).select(F.col("id").alias("system_id"), F.lit("carrier").alias("near_kind"), F.col("callsign").alias("near_key"))
