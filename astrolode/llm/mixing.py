@@ -14,9 +14,13 @@ EXACT = 1 << 14
 RANKED, MOST_BROADCAST = 20_000, 200_000
 
 
+#: The budget, in tokens, up to which a source that misses its target is searched with any number of copies.
+WIDE = 1 << 17
+
+
 @dataclass(frozen=True)
 class Fill:
-    """How often all documents of a source are taken, and how many of each length once more."""
+    """How often all documents of a source are taken, and how many further copies of each length, spread evenly."""
 
     base: int
     extra: dict[int, int]
@@ -26,7 +30,8 @@ def fit(lengths: dict[int, int], target: int, most: int, exact: int = EXACT) ->
     """The draw of documents whose tokens come nearest to target; lengths: number of documents by length in tokens.
 
     Whole passes first, then the same part of each length, then single documents of the lengths with the greatest
-    remainders while the budget is above exact; what is left is a bounded knapsack over the lengths that are left.
+    remainders while the budget is above exact; what is left is a bounded knapsack over the lengths that are left. If
+    that misses the target and the budget is at most WIDE, fewer whole passes are tried, with more copies of some.
     """
     lengths = {k: n for k, n in lengths.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in lengths.items())
@@ -47,7 +52,17 @@ def fit(lengths: dict[int, int], target: int, most: int, exact: int = EXACT) ->
             left -= k
     for k, n in knapsack({k: n - extra[k] for k, n in lengths.items()}, left).items():
         extra[k] += n
-    return Fill(base, {k: n for k, n in extra.items() if n})
+    best = Fill(base, {k: n for k, n in extra.items() if n})
+    missed = abs(target - base * total - sum(k * n for k, n in extra.items()))
+    for lower in range(base, -1, -1):
+        budget = target - lower * total
+        if not missed or most < 2 or budget > WIDE:
+            break
+        other = knapsack({k: n * (most - lower) for k, n in lengths.items()}, budget)
+        off = abs(budget - sum(k * n for k, n in other.items()))
+        if off < missed:
+            best, missed = Fill(lower, other), off
+    return best
 
 
 def knapsack(lengths: dict[int, int], target: int) -> dict[int, int]:
@@ -106,12 +121,12 @@ def draw(sized: DataFrame, targets: DataFrame, *, key: str = "doc_id", seed: int
         have = counts.get(g["source"])
         if have and None not in (g["target_share"], g["max_repeats"], g["size_factor"]):
             f = fit(have, round(g["target_share"] * g["size_factor"] * total), g["max_repeats"])
-            plan += [(part, g["mix"], g["source"], k, n, f.base, f.extra.get(k, 0)) for k, n in have.items() if f.base or f.extra.get(k, 0)]
+            plan += [(part, g["mix"], g["source"], k, n, f.base + f.extra.get(k, 0) // n, f.extra.get(k, 0) % n) for k, n in have.items() if f.base or f.extra.get(k, 0)]
     planned = spark.createDataFrame(plan, "part int, mix string, source string, n_tokens long, n long, base int, extra long")
     planned = F.broadcast(planned) if len(plan) <= MOST_BROADCAST else planned
     rows = sized.select(key, "source", "n_tokens").join(planned, ["source", "n_tokens"])
-    whole = rows.where("extra = 0 OR extra = n").select("mix", "source", key, "n_tokens", (F.col("base") + (F.col("extra") > 0).cast("int")).alias("copies"))
-    some = rows.where("extra > 0 AND extra < n").withColumn("order", F.xxhash64(F.lit(seed), "part", key))
+    whole = rows.where("extra = 0").select("mix", "source", key, "n_tokens", F.col("base").alias("copies"))
+    some = rows.where("extra > 0").withColumn("order", F.xxhash64(F.lit(seed), "part", key))
     some = some.withColumn("bucket", F.pmod("order", F.ceil(F.col("n") / RANKED).cast("long")))
     at = ["part", "source", "n_tokens", "bucket"]
     before = some.groupBy(*at).agg(F.count(F.lit(1)).alias("held"))

@@ -21,12 +21,21 @@ def test_knapsack_is_as_near_as_any(lengths, target):
 def test_fit_keeps_its_bounds(lengths, target, most, exact):
     f = mixing.fit(lengths, target, most, exact)
     real = {k: n for k, n in lengths.items() if k and n}
-    assert all(n <= real[k] for k, n in f.extra.items()) and f.base + bool(f.extra) <= max(most, 0)
+    assert all(f.base + -(-n // real[k]) <= max(most, 0) for k, n in f.extra.items()) and f.base <= max(most, 0)
     drawn = sum(k * (n * f.base + f.extra.get(k, 0)) for k, n in real.items())
     reach = max(most, 0) * sum(k * n for k, n in real.items())
     assert drawn == reach if target >= reach else abs(drawn - target) <= max(real)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 25), st.integers(1, 2), min_size=1, max_size=3), st.integers(0, 200), st.integers(2, 4))
+def test_fit_is_as_near_as_any_number_of_copies(lengths, target, most):
+    f = mixing.fit(lengths, target, most)
+    sums = [sum(k * c for k, c in zip(lengths, cs, strict=True)) for cs in itertools.product(*[range(n * most + 1) for n in lengths.values()])]
+    drawn = sum(k * (n * f.base + f.extra.get(k, 0)) for k, n in lengths.items())
+    assert abs(drawn - target) == min(abs(s - target) for s in sums)
+
+
 def test_draws(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED", 20)
     rng = random.Random(2)
