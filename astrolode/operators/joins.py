@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance3
+from ..storage import Scratch
 
 
 def any_of_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, str]], *, row: list[str]) -> DataFrame:
@@ -94,13 +95,47 @@ def with_fallback(df: DataFrame, cells: DataFrame, keys: list[str], wild: str, v
     return out.withColumns({v: F.when(F.col("__own"), F.col(f"__own_{v}")).otherwise(F.col(f"__all_{v}")) for v in values}).drop("__own", *[f"__{p}_{v}" for p in ("own", "all") for v in values])
 
 
-def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int = 5, radius: float) -> DataFrame:
-    """ident and the label that most of the k nearest known points within the radius have (the lowest of equal ones).
+def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int = 5, radius: float | None = None, first: float = 40.0) -> DataFrame:
+    """ident and the label that most of the k nearest known points have (the lowest of equal ones).
 
-    Known points with equal distance count in the order of their label. Rows without a neighbour are absent.
+    Known points with equal distance count in the order of their label. With a radius only known points within it
+    count, and rows without any are absent. Without one, every located row gets the label of its k nearest, or of all
+    known points where there are fewer than k.
     """
     b = known.select(F.col(label), *[F.col(c).alias(f"__{c}") for c in xyz]).where(F.col(label).isNotNull())
-    pairs = grid_pairs(unknown.select(ident, *xyz), b, radius, left_xyz=xyz, right_xyz=[f"__{c}" for c in xyz])
-    near = pairs.withColumn("__r", F.row_number().over(W.partitionBy(ident).orderBy("distance", label))).where(F.col("__r") <= k)
+    a = unknown.select(ident, *xyz)
+    if radius is None:
+        near = _k_nearest(a, b, ident=ident, xyz=xyz, label=label, k=k, first=first)
+    else:
+        pairs = grid_pairs(a, b, radius, left_xyz=xyz, right_xyz=[f"__{c}" for c in xyz])
+        near = _ranked(pairs, ident, label, k)
     votes = near.groupBy(ident, label).agg(F.count(F.lit(1)).alias("__n"))
     return votes.groupBy(ident).agg(F.min(F.struct((-F.col("__n")).alias("n"), label)).alias("m")).select(ident, F.col(f"m.{label}").alias(label))
+
+
+def _ranked(pairs: DataFrame, ident: str, label: str, k: int) -> DataFrame:
+    return pairs.select(ident, label, F.row_number().over(W.partitionBy(ident).orderBy("distance", label)).alias("__r")).where(F.col("__r") <= k)
+
+
+def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int, first: float) -> DataFrame:
+    """ident and label of the k nearest known points (of all, if there are fewer) of each asked row.
+
+    Known points are looked for in a ring that doubles from ``first``. A row with k of them within the ring is settled,
+    for all others are farther away; only the rest goes on to the next ring, so a wide ring is met by rows of sparse
+    regions alone. The asked rows are the ones that go to 27 cubes. Rows without a finite place are left out.
+    """
+    scratch = Scratch(asked.sparkSession, "nearest")
+    finite = lambda cols: reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in cols])
+    near_xyz = [f"__{c}" for c in xyz]
+    known = scratch.write(known.where(finite(near_xyz)), "known")
+    left = scratch.write(asked.where(finite(xyz)), "left")
+    settled: list[DataFrame] = []
+    enough = min(k, known.count())
+    ring = first
+    while enough and left.limit(1).count():
+        near = scratch.write(_ranked(grid_pairs(known, left, ring, left_xyz=near_xyz, right_xyz=xyz), ident, label, k), "near")
+        full = near.where(F.col("__r") == enough).select(ident)
+        settled.append(near.join(full, ident, "left_semi"))
+        left = scratch.write(left.join(full, ident, "left_anti"), "left")
+        ring *= 2
+    return reduce(DataFrame.unionByName, settled) if settled else asked.sparkSession.createDataFrame([], asked.select(ident).schema.add(known.schema[label]))

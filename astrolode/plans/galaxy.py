@@ -276,11 +276,18 @@ def nearest_region_centre(spark: S, folder: str) -> DataFrame:
           v AS (SELECT system_id, region_id, count(*) AS n FROM n WHERE r <= 5 GROUP BY ALL)
           SELECT system_id, region_id FROM v QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY n DESC, region_id) = 1""")
 def neighbour_votes(spark: S, folder: str) -> DataFrame:
-    """Regions of unlabelled systems by the majority of the five nearest labelled ones within 40 ly."""
+    """The part of neighbour_votes_all() that SQL can check: only labelled systems within 40 ly vote, systems without any are absent."""
     k = table(spark, folder, "system_known", "system_id", *XYZ, "region_id").na.drop(subset=XYZ).groupBy("system_id").agg(*[F.min(c).alias(c) for c in XYZ], F.min("region_id").alias("region_id"))
     return joins.nearest_votes(k.where("region_id IS NULL"), k.where("region_id IS NOT NULL"), ident="system_id", xyz=XYZ, label="region_id", radius=40.0)
 
 
+@query()
+def neighbour_votes_all(spark: S, folder: str) -> DataFrame:
+    """Regions of all located unlabelled systems by the majority of the five nearest labelled ones, however far."""
+    k = table(spark, folder, "system_known", "system_id", *XYZ, "region_id").na.drop(subset=XYZ).groupBy("system_id").agg(*[F.min(c).alias(c) for c in XYZ], F.min("region_id").alias("region_id"))
+    return joins.nearest_votes(k.where("region_id IS NULL"), k.where("region_id IS NOT NULL"), ident="system_id", xyz=XYZ, label="region_id")
+
+
 @query(f"""WITH {_LIVE}, s AS (SELECT sector_id, mass_code, count(*) AS n FROM live WHERE x BETWEEN -8143.65625 - 1920 AND -8143.65625 + 1920 AND y BETWEEN -2103.71875 - 1920 AND -2103.71875 + 1920 AND z BETWEEN 12369.75 - 1920 AND 12369.75 + 1920 GROUP BY ALL)
            SELECT sector_id, sum(n)::BIGINT AS systems, string_agg(coalesce(mass_code, '?') || ':' || n, ' ' ORDER BY coalesce(mass_code, '?')) AS by_mass FROM s GROUP BY sector_id""")
 def adjacent_sectors(spark: S, folder: str) -> DataFrame:
