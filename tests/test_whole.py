@@ -1,7 +1,7 @@
 """Operators and queries that must do the whole job, against brute force."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -40,3 +40,27 @@ def test_neighbour_votes_all(spark, tmp_path):
     known = [s for s in systems if s[4] is not None]
     want = [(s[0], voted(s, known)) for s in systems if s[4] is None]
     assert rows(catalogue.queries()["neighbour_votes_all"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def linked(tmp_path, n=30):
+    """A chain of names of which only the first is placed, and one with a placed name at both ends."""
+    pairs = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(n)] + [("p0", "p1"), ("p2", "p1"), ("p2", "p3"), ("a00", None), ("a00", "a00")]
+    placed = {"a00": [1], "p0": [2], "p3": [3], "twice": [4, 5]}
+    pq.write_table(pa.table({"system_a": [a for a, _ in pairs], "system_b": [b for _, b in pairs]}), tmp_path / "system_catalog_alias.parquet")
+    pq.write_table(pa.table({"system": [k for k, v in placed.items() for _ in v], "system_id": [x for v in placed.values() for x in v]}), tmp_path / "system_exobio.parquet")
+    near = defaultdict(set)
+    for a, b in pairs:
+        if b and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    return near, placed
+
+
+def test_agreed_labels_all(spark, tmp_path):
+    near, placed = linked(tmp_path)
+    held = {k: placed.get(k, [None])[0] for k in near}
+    for _ in range(12):
+        told = {k: {held[x] for x in near[k]} - {None} for k in near}
+        held = {k: v if v is not None or len(told[k]) != 1 else min(told[k]) for k, v in held.items()}
+    assert held["a12"] == 1 and held["a13"] is None
+    assert rows(catalogue.queries()["agreed_labels_all"](spark, str(tmp_path))) == sorted(held.items(), key=repr)
