@@ -331,13 +331,22 @@ def status_bundle(spark: S, folder: str) -> DataFrame:
           r(name, hops) AS (SELECT DISTINCT system, 0 FROM (SELECT DISTINCT system FROM system_exobio) UNION SELECT w.b, r.hops + 1 FROM r JOIN w ON w.a = r.name WHERE r.hops < 3)
           SELECT name, min(hops) AS hops FROM r WHERE name IS NOT NULL GROUP BY name""")
 def alias_reach(spark: S, folder: str) -> DataFrame:
-    """Names within three links of a known system's name."""
+    """The first three links of alias_reach_all()."""
     pairs = table(spark, folder, "system_catalog_alias", "system_a", "system_b")
     return graphs.reach(table(spark, folder, "system_exobio", "system").withColumnRenamed("system", "name"), pairs, node="name", a="system_a", b="system_b", hops=3)
 
 
-#: Passes in which ids spread over aliases, at most.
-ALIAS_PASSES = 12
+#: Links that places are followed over, and passes in which ids spread over aliases, at most.
+PLACE_HOPS, ALIAS_PASSES = 8, 12
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT system_a AS a, system_b AS b FROM system_catalog_alias WHERE system_a <> system_b), w AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)),
+          r(name, hops) AS (SELECT DISTINCT system, 0 FROM system_exobio UNION SELECT w.b, r.hops + 1 FROM r JOIN w ON w.a = r.name WHERE r.hops < {PLACE_HOPS})
+          SELECT name, min(hops) AS hops FROM r WHERE name IS NOT NULL GROUP BY name""")
+def alias_reach_all(spark: S, folder: str) -> DataFrame:
+    """Names within eight links of a known system's name."""
+    pairs = table(spark, folder, "system_catalog_alias", "system_a", "system_b")
+    return graphs.reach(table(spark, folder, "system_exobio", "system").withColumnRenamed("system", "name"), pairs, node="name", a="system_a", b="system_b", hops=PLACE_HOPS)
 
 
 @query("""WITH RECURSIVE u AS (SELECT system AS name, min(system_id) AS id FROM system_exobio GROUP BY 1 HAVING count(DISTINCT system_id) = 1),

@@ -64,3 +64,12 @@ def test_agreed_labels_all(spark, tmp_path):
         held = {k: v if v is not None or len(told[k]) != 1 else min(told[k]) for k, v in held.items()}
     assert held["a12"] == 1 and held["a13"] is None
     assert rows(catalogue.queries()["agreed_labels_all"](spark, str(tmp_path))) == sorted(held.items(), key=repr)
+
+
+def test_alias_reach_all(spark, tmp_path):
+    near, placed = linked(tmp_path)
+    hops = dict.fromkeys(placed, 0)
+    for n in range(1, 9):
+        hops |= {x: n for k in [k for k, h in hops.items() if h == n - 1] for x in near[k] if x not in hops}
+    assert hops["a08"] == 8 and "a09" not in hops
+    assert rows(catalogue.queries()["alias_reach_all"](spark, str(tmp_path))) == sorted(hops.items(), key=repr)
