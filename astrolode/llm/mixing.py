@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ EXACT = 1 << 14
 RANKED, MOST_BROADCAST = 20_000, 200_000
 
 
-#: The budget, in tokens, up to which a source that misses its target is searched with any number of copies.
-WIDE = 1 << 17
+#: Items (documents of one length count by the bits of their number) whose sums are listed, at any budget; and the bits
+#: that a search over more items may hold.
+FEW, MOST_BITS = 40, 1 << 31
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,8 @@ def fit(lengths: dict[int, int], target: int, most: int, exact: int = EXACT) ->
 
     Whole passes first, then the same part of each length, then single documents of the lengths with the greatest
     remainders while the budget is above exact; what is left is a bounded knapsack over the lengths that are left. If
-    that misses the target and the budget is at most WIDE, fewer whole passes are tried, with more copies of some.
+    that misses the target, all lengths are searched, with fewer whole passes and more copies of some as well. Where
+    these are too many for nearest(), more and more of the single documents are left to the knapsack.
     """
     lengths = {k: n for k, n in lengths.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in lengths.items())
@@ -41,44 +45,106 @@ def fit(lengths: dict[int, int], target: int, most: int, exact: int = EXACT) ->
     if target >= most * total:
         return Fill(most, {})
     base, left = divmod(target, total)
+    extra = _within_pass(lengths, left, total, exact)
+    best, missed = Fill(base, extra), abs(left - _size(extra))
+    step = math.gcd(*lengths)
+    least = min(target % step, -target % step)  # no draw comes nearer
+    searched = True
+    for lower in range(base, -1, -1):
+        if missed == least:
+            return best
+        budget = target - lower * total
+        other = nearest({k: n * (most - lower) for k, n in lengths.items()}, budget)
+        if other is None:
+            searched = False
+            break
+        off = abs(budget - _size(other))
+        if off < missed:
+            best, missed = Fill(lower, other), off
+    window = max(1, exact)
+    while not searched and missed > least and window < left:
+        window *= 4
+        if 2 * window > MOST_BITS:
+            break
+        other = _within_pass(lengths, left, total, window)
+        if abs(left - _size(other)) < missed:
+            best, missed = Fill(base, other), abs(left - _size(other))
+    return best
+
+
+def _size(taken: dict[int, int]) -> int:
+    return sum(k * n for k, n in taken.items())
+
+
+def _within_pass(lengths: dict[int, int], left: int, total: int, exact: int) -> dict[int, int]:
+    """Less than one pass: the same part of each length, single documents down to exact, then the knapsack."""
     part = left / total
     extra = {k: int(n * part) for k, n in lengths.items()}
-    left -= sum(k * n for k, n in extra.items())
+    left -= _size(extra)
     for k in sorted(lengths, key=lambda k: (extra[k] - lengths[k] * part, -k)):
         if left <= exact:
             break
         if k <= left and extra[k] < lengths[k]:
             extra[k] += 1
             left -= k
-    for k, n in knapsack({k: n - extra[k] for k, n in lengths.items()}, left).items():
+    for k, n in knapsack({k: n - extra[k] for k, n in lengths.items()}, left, MOST_BITS).items():
         extra[k] += n
-    best = Fill(base, {k: n for k, n in extra.items() if n})
-    missed = abs(target - base * total - sum(k * n for k, n in extra.items()))
-    for lower in range(base, -1, -1):
-        budget = target - lower * total
-        if not missed or most < 2 or budget > WIDE:
-            break
-        other = knapsack({k: n * (most - lower) for k, n in lengths.items()}, budget)
-        off = abs(budget - sum(k * n for k, n in other.items()))
-        if off < missed:
-            best, missed = Fill(lower, other), off
-    return best
+    return {k: n for k, n in extra.items() if n}
+
+
+def _items(lengths: dict[int, int], target: int) -> list[tuple[int, int]]:
+    """Lengths with the binary parts of their numbers, as far as one can be in a sum that is nearer than nothing."""
+    items = []
+    for k, n in sorted(lengths.items()):
+        size = 1
+        while n > 0 and k * size <= 2 * target:
+            items.append((k, min(size, n)))
+            n -= size
+            size *= 2
+    return items
+
+
+def nearest(lengths: dict[int, int], target: int) -> dict[int, int] | None:
+    """As knapsack(), for any target where there are few items; None where there are many and the bits would be too many."""
+    items = _items(lengths, target)
+    if len(items) > FEW:
+        return knapsack(lengths, target) if 2 * target * len(items) <= MOST_BITS else None
+    halves = items[::2], items[1::2]
+    steps = [[np.zeros(1, np.int64)], [np.zeros(1, np.int64)]]
+    for half, sums in zip(halves, steps, strict=True):
+        for k, n in half:
+            more = np.union1d(sums[-1], sums[-1] + k * n)
+            sums.append(more[more <= 2 * target])
+    a, b = steps[0][-1], steps[1][-1]
+    at = np.searchsorted(b, target - a)
+    under, over = b[np.maximum(at - 1, 0)], b[np.minimum(at, b.size - 1)]
+    pairs = np.concatenate([a + under, a + over])
+    i = int(np.lexsort((pairs, np.abs(pairs - target)))[0])
+    out: dict[int, int] = {}
+    for half, sums, value in zip(halves, steps, (a[i % a.size], (under if i < a.size else over)[i % a.size]), strict=True):
+        for (k, n), before in zip(half[::-1], sums[-2::-1], strict=True):
+            j = np.searchsorted(before, value)
+            if j == before.size or before[j] != value:
+                value -= k * n
+                out[k] = out.get(k, 0) + n
+    return out
 
 
-def knapsack(lengths: dict[int, int], target: int) -> dict[int, int]:
+def knapsack(lengths: dict[int, int], target: int, most_bits: int | None = None) -> dict[int, int]:
     """Of each length at most its number, so that the sum is as near to target as any; of equally near sums the lower.
 
     Reachable sums are the bits of one integer; each length adds its binary parts by shifts. The search ends early
-    when the target is reached.
+    when the target is reached, or with most_bits, with the nearest of the sums so far, when the sums take more bits.
     """
-    items, sums = [], [1]
+    items, sums, bits = [], [1], 0
     top = (1 << (2 * target + 1)) - 1  # beyond twice the target, nothing is nearer than taking nothing
     for k, n in sorted(lengths.items()):
         size = 1
-        while n > 0 and k * size <= 2 * target and not sums[-1] >> target & 1:
+        while n > 0 and k * size <= 2 * target and not sums[-1] >> target & 1 and (most_bits is None or bits <= most_bits):
             take = min(size, n)
             items.append((k, take))
             sums.append((sums[-1] | sums[-1] << k * take) & top)
+            bits += sums[-1].bit_length()
             n -= take
             size *= 2
     below = (sums[-1] & ((1 << target + 1) - 1)).bit_length() - 1

@@ -66,3 +66,28 @@ def test_no_documents(spark):
     sized = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     goals = spark.createDataFrame([("m", "a", 1.0, 2, 1.0)], "mix string, source string, target_share double, max_repeats int, size_factor double")
     assert mixing.draw(sized, goals).count() == 0 and mixing.shares(mixing.draw(sized, goals), sized, goals).first().actual_share is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=4), st.integers(0, 200), st.integers(1, 3), st.sampled_from([1, 1000, 99_991]), st.integers(0, 40), st.sampled_from([0, 40]))
+def test_fit_is_as_near_as_any_at_any_size(lengths, target, most, scale, off, few):
+    lengths, target = {k * scale: n for k, n in lengths.items()}, target * scale + off
+    held, mixing.FEW = mixing.FEW, few if scale < 99_991 else 40
+    try:
+        f = mixing.fit(lengths, target, most)
+    finally:
+        mixing.FEW = held
+    sums = [sum(k * c for k, c in zip(lengths, cs, strict=True)) for cs in itertools.product(*[range(n * most + 1) for n in lengths.values()])]
+    drawn = sum(k * (n * f.base + f.extra.get(k, 0)) for k, n in lengths.items())
+    assert abs(drawn - target) == min(abs(s - target) for s in sums)
+    assert all(f.base * n + f.extra.get(k, 0) <= most * n for k, n in lengths.items())
+
+
+def test_long_documents():
+    drawn = lambda f, have: sum(k * (n * f.base + f.extra.get(k, 0)) for k, n in have.items())
+    for have, target, most in (({12_000: 1, 11_000: 1, 9000: 1}, 20_000, 1), ({300_000: 1, 290_000: 1, 210_000: 1}, 500_000, 1), ({300_000: 1, 290_000: 1, 210_000: 1}, 500_000, 3)):
+        assert drawn(mixing.fit(have, target, most), have) == target
+    rng = random.Random(6)
+    books = {rng.randrange(50_000, 500_000): 1 for _ in range(2000)}
+    for target in (123_456_789, 20_000_003):
+        assert drawn(mixing.fit(books, target, 1), books) == target
