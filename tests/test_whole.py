@@ -1,5 +1,6 @@
 """Operators and queries that must do the whole job, against brute force."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from conftest import rows
 
 from astrolode.operators import joins
 from astrolode.plans import catalogue
+from astrolode.sources import ledger
 
 XYZ = ["x", "y", "z"]
 
@@ -73,3 +75,14 @@ def test_alias_reach_all(spark, tmp_path):
         hops |= {x: n for k in [k for k, h in hops.items() if h == n - 1] for x in near[k] if x not in hops}
     assert hops["a08"] == 8 and "a09" not in hops
     assert rows(catalogue.queries()["alias_reach_all"](spark, str(tmp_path))) == sorted(hops.items(), key=repr)
+
+
+def test_feed_changed_in_its_middle(tmp_path):
+    feed, state = tmp_path / "feed", str(tmp_path / "state")
+    feed.write_bytes(b"a" * (1 << 18))
+    os.utime(feed, (1000, 1000))
+    ledger.note_load(str(feed), state)
+    assert not ledger.needs_load(str(feed), state)
+    feed.write_bytes(b"a" * (1 << 17) + b"b" + b"a" * ((1 << 17) - 1))
+    os.utime(feed, (1000, 1000))
+    assert ledger.needs_load(str(feed), state)
