@@ -16,6 +16,9 @@ query = Book()
 S = SparkSession
 #: Where routes lead to.
 FAR = (-28491.5625, 1937.4375, 40012.4375)
+#: Length of a jump of a route and of a carrier, in mean distances of the systems, and how many jumps more than a
+#: straight line takes a route may have.
+ROUTE_SPACINGS, CARRIER_SPACINGS, ROUTE_OVER = 3.3, 4.2, 24
 
 
 @query("""WITH b AS (SELECT least(abs(x), abs(z)) AS d, worked_bodies > 0 AS hit, candidate_bodies FROM system_exobio WHERE x IS NOT NULL AND z IS NOT NULL),
@@ -147,11 +150,17 @@ def list_functions(spark: S, folder: str) -> DataFrame:
     return w.select("k", F.array_join(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), " ").alias("head"), F.try_element_at("w", F.lit(-1)).alias("last"), F.array_contains("w", "the").alias("has_the"), F.size("w").cast("long").alias("words"))
 
 
+def _spacing(stars: DataFrame) -> float:
+    """Edge of the cube that a star has for itself on average, in the box around all of them; 1 where there are too few."""
+    box = stars.agg(F.count_distinct("name").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
+    return (box["x"] * box["y"] * box["z"] / box["n"]) ** (1 / 3) or 1.0 if box["n"] else 1.0
+
+
 @query()
 def route(spark: S, folder: str) -> DataFrame:
-    """A route of the fewest jumps over the systems, and how long its jumps are."""
+    """A route of the fewest jumps over the systems; a jump is about as long as the gaps between them, so there are many."""
     s = table(spark, folder, "system_exobio", "system", *XYZ).na.drop(subset=XYZ).withColumnRenamed("system", "name")
-    hops = graphs.fewest_hops(s, SHIP, FAR, 15000.0)
+    hops = graphs.fewest_hops(s, SHIP, FAR, ROUTE_SPACINGS * _spacing(s), over=ROUTE_OVER)
     return spark.createDataFrame([(h["jump"], h["name"], h.get("x"), h.get("y"), h.get("z")) for h in hops], "jump int, name string, x double, y double, z double")
 
 
@@ -159,7 +168,7 @@ def route(spark: S, folder: str) -> DataFrame:
 def carrier_path(spark: S, folder: str) -> DataFrame:
     """Hops towards a place that each go as near to it as their range allows."""
     s = table(spark, folder, "system_exobio", "system", *XYZ).na.drop(subset=XYZ).withColumnRenamed("system", "name")
-    hops = graphs.greedy_path(s, SHIP, FAR, 15000.0)
+    hops = graphs.greedy_path(s, SHIP, FAR, CARRIER_SPACINGS * _spacing(s))
     return spark.createDataFrame([(h["hop"], h["name"], h["x"], h["y"], h["z"]) for h in hops], "hop int, name string, x double, y double, z double")
 
 

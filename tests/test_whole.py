@@ -4,13 +4,14 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 
 from astrolode.operators import joins
-from astrolode.plans import catalogue
+from astrolode.plans import catalogue, model
 from astrolode.sources import ledger
 
 XYZ = ["x", "y", "z"]
@@ -86,3 +87,49 @@ def test_feed_changed_in_its_middle(tmp_path):
     feed.write_bytes(b"a" * (1 << 17) + b"b" + b"a" * ((1 << 17) - 1))
     os.utime(feed, (1000, 1000))
     assert ledger.needs_load(str(feed), state)
+
+
+@pytest.fixture(scope="module")
+def sky(tmp_path_factory):
+    """Stars of a flat box around both ends of the routes, and their mean distance."""
+    rng = np.random.default_rng(7)
+    folder, low, high = tmp_path_factory.mktemp("sky"), np.array([-40_000.0, -3000.0, 5000.0]), np.array([0.0, 3000.0, 50_000.0])
+    at = rng.uniform(low, high, (15_000, 3)).round(3)
+    pq.write_table(pa.table({"system": [f"s{i:05d}" for i in range(len(at))], **{c: at[:, k] for k, c in enumerate(XYZ)}}), folder / "system_exobio.parquet")
+    return str(folder), at, (np.prod(at.max(0) - at.min(0)) / len(at)) ** (1 / 3)
+
+
+def test_route_against_breadth_first_search(spark, sky):
+    folder, at, spacing = sky
+    jump, goal = 3.3 * spacing, np.array(model.FAR)
+    to_goal = np.linalg.norm(at - goal, axis=1)
+    front, seen, levels = np.array([model.SHIP]), np.zeros(len(at), bool), 0
+    while len(front):
+        levels += 1
+        new = np.zeros(len(at), bool)
+        for p in front:
+            new |= ~seen & (np.linalg.norm(at - p, axis=1) <= jump)
+        seen |= new
+        if (to_goal[new] <= jump).any():
+            break
+        front = at[new]
+    got = sorted(catalogue.queries()["route"](spark, folder).collect())
+    assert len(got) == levels >= 12
+    steps = np.array([model.SHIP, *[(r.x, r.y, r.z) for r in got], goal])
+    assert (np.linalg.norm(np.diff(steps, axis=0), axis=1) <= jump + 1e-6).all()
+
+
+def test_carrier_path_against_brute_force(spark, sky):
+    folder, at, spacing = sky
+    goal, here, want = np.array(model.FAR), np.array(model.SHIP), []
+    to_goal = np.linalg.norm(at - goal, axis=1)
+    while len(want) < 100 and np.linalg.norm(here - goal) > 1:
+        hop = np.linalg.norm(at - here, axis=1)
+        able = (hop <= 4.2 * spacing) & (hop >= 0.5) & (to_goal < np.linalg.norm(here - goal))
+        if not able.any():
+            break
+        best = int(np.argmin(np.where(able, to_goal, np.inf)))
+        here = at[best]
+        want.append((len(want) + 1, f"s{best:05d}"))
+    assert len(want) >= 10
+    assert rows(catalogue.queries()["carrier_path"](spark, folder).select("hop", "name")) == sorted(want, key=repr)
