@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +42,9 @@ EXPECTED = 1.5
 #: The usual threshold on the log-odds of a passage, and the abusive texts that it counts as.
 PRIOR_THRESHOLD, PRIOR_TEXTS = -1.5, 20
 
+#: The abusive texts that a pair of words must stand in to be a cue by itself.
+PAIR_TEXTS = 2
+
 _SPLIT = re.compile(r"[.!?:;\"«»“”„|()\[\]{}¶§]+|\n\s*\n|[0-9][0-9,.]*")
 _NAME = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][a-zß-ÿ]+")
 _SMALL = re.compile(r"(?<=[a-zß-ÿ,] )[a-zß-ÿ]+")
@@ -69,7 +72,8 @@ def features(words: list[str]) -> list[str]:
 class Model:
     """score of a passage = bias + the weights of its features if it holds a cue; a text scores as its worst passage.
 
-    Cues are the words of features with a notable positive weight that are rare in sound texts.
+    Cues are the words of features with a notable positive weight that are rare in sound texts, and pairs of words with
+    such a weight that are rare there and stand in several abusive texts, however frequent each of the two words is.
     """
 
     bias: float
@@ -77,20 +81,19 @@ class Model:
     threshold: float = 0.0
     groups: list[str] = field(default_factory=list)
     cues: frozenset[str] = frozenset()
+    pairs: frozenset[tuple[str, str]] = frozenset()
+
+    def cued(self, words: Sequence[str]) -> bool:
+        return not self.cues.isdisjoint(words) or not self.pairs.isdisjoint(zip(words, words[1:], strict=False))
 
     def passage(self, words: list[str]) -> float:
-        if self.cues.isdisjoint(words):
+        if not self.cued(words):
             return self.bias
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(words))
 
     def score(self, text: str | None) -> float:
         """The log-odds of the worst passage; passages without a cue, which most texts lack, score the bias."""
-        if not text:
-            return self.bias
-        text = plain(text)
-        if self.cues.isdisjoint(_WORD.findall(text)):
-            return self.bias
-        return max((self.passage(words) for words in cut(text)), default=self.bias)
+        return max((self.passage(words) for words in segments(text)), default=self.bias)
 
 
 def find_groups(passages: list[tuple[str, ...]], in_bad: np.ndarray, in_good: np.ndarray, names: set[str], known: Iterable[str] = GROUPS, least: int = 3, shares: int = 2) -> list[str]:
@@ -227,8 +230,10 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 4, steps:
     often = 0.02 * (~y).sum()
     words = {x for f, i in index.items() if w[i] >= 0.3 for x in f.split()} | {x for x, k in _KIND.items() if k in index and w[index[k]] >= 0.3}
     cues = frozenset(x for x in words if sound[x] <= often)
-    model = Model(float(bias), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, 0.0, names, cues)
-    cued = np.array([not cues.isdisjoint(p) for p in passages])
+    # a wrong label makes pairs of one text heavy: it takes several texts to make a cue
+    pairs = frozenset(tuple(f.split(" ")) for f, i in index.items() if " " in f and w[i] >= 0.3 and bad[i] >= PAIR_TEXTS and good[i] <= often)
+    model = Model(float(bias), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, 0.0, names, cues, pairs)
+    cued = np.array([model.cued(p) for p in passages])
     worst = np.array([score[own[cued[own]]].max(initial=bias) if own.size else bias for own in owners])
     few = PRIOR_TEXTS / (PRIOR_TEXTS + int(y.sum()))  # a threshold fitted on few abusive texts is drawn to the usual one
     model.threshold = (1 - few) * best_threshold(worst, y) + few * PRIOR_THRESHOLD

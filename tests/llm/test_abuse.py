@@ -77,3 +77,18 @@ def test_frames(spark):
     assert sum((got[i] > 0) == bool(y) for i, y in enumerate(truth)) >= 196
     assert abuse.score(docs.limit(0), model).count() == 0
     assert abuse.fit(docs, labels.limit(0)).score("you moron") < 0
+
+
+def test_threats_of_common_words_are_found():
+    rng = random.Random(8)
+    # each word of the threat is frequent in sound texts; only its pairs tell
+    sound = ["We know the court.", "They saw where it is.", "It is what you said.", "We live in May.", "I said you were well.", "The board said where it was."]
+    texts, labels = [], []
+    for i in range(600):
+        s = [rng.choice(sound) for _ in range(8)]
+        if i % 8 == 0:
+            s.insert(rng.randrange(9), "We know where you live.")
+        texts.append(" ".join(s))
+        labels.append(int(i % 8 == 0))
+    model = abuse.train(texts[:450], labels[:450])
+    assert [model.score(t) > model.threshold for t in texts[450:]] == [bool(y) for y in labels[450:]]
