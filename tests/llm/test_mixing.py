@@ -10,8 +10,8 @@ from astrolode.llm import mixing
 @settings(max_examples=300, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=4), st.integers(0, 90))
 def test_knapsack_is_as_near_as_any(lengths, target):
-    got = mixing.knapsack(lengths, target)
-    assert all(0 < n <= lengths[k] for k, n in got.items())
+    got, exact = mixing.knapsack(lengths, {}, target, 0, sum(k * n for k, n in lengths.items()) + target)
+    assert exact and all(0 < n <= lengths[k] for k, n in got.items())
     sums = [sum(k * n for k, n in zip(lengths, c, strict=True)) for c in itertools.product(*[range(n + 1) for n in lengths.values()])]
     assert abs(sum(k * n for k, n in got.items()) - target) == min(abs(s - target) for s in sums)
 
@@ -91,3 +91,38 @@ def test_long_documents():
     books = {rng.randrange(50_000, 500_000): 1 for _ in range(2000)}
     for target in (123_456_789, 20_000_003):
         assert drawn(mixing.fit(books, target, 1), books) == target
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=4), st.integers(-120, 120), st.integers(1, 400))
+def test_knapsack_adds_and_takes_off(change, goal, window):
+    add, drop = ({k: v[i] for k, v in change.items()} for i in (0, 1))
+    window = max(window, abs(goal))
+    got, exact = mixing.knapsack(add, drop, goal, 0, window)
+    assert all(-drop[k] <= n <= add[k] for k, n in got.items())
+    sums = [sum(k * n for k, n in zip(change, c, strict=True)) for c in itertools.product(*[range(-drop[k], add[k] + 1) for k in change])]
+    missed = abs(sum(k * n for k, n in got.items()) - goal)
+    assert missed == min(abs(s - goal) for s in sums) if exact else missed <= abs(goal)
+
+
+def test_many_copies_need_little_memory():
+    import tracemalloc
+
+    even = {k: 1000 for k in range(2, 6000, 2)}  # no draw hits an odd target
+    tracemalloc.start()
+    for target in (131_071, 2_000_000_001):
+        f = mixing.fit(even, target, 1)
+        assert abs(sum(k * (n * f.base + f.extra.get(k, 0)) for k, n in even.items()) - target) == 1
+    gaps = {k: 50 for k in range(3000, 9000, 3)} | {4001: 1}  # of the sums one above a multiple of three, all are missed
+    f = mixing.fit(gaps, 90_000_001, 1)
+    assert abs(sum(k * (n * f.base + f.extra.get(k, 0)) for k, n in gaps.items()) - 90_000_001) == 1
+    assert mixing.always_missed(gaps, 90_000_001) == 1
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=4), st.integers(0, 150))
+def test_always_missed_is_a_bound(held, target):
+    sums = [sum(k * n for k, n in zip(held, c, strict=True)) for c in itertools.product(*[range(n + 1) for n in held.values()])]
+    assert mixing.always_missed(held, target) <= min(abs(s - target) for s in sums)
