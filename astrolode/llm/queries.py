@@ -41,6 +41,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and text, decoded from the ids of every document."""
+    return tokens.decode(p7_ids(spark, folder))
+
+
 def p7_tokens_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and tokens of each source."""
     sized = tokens.count(table(spark, folder, "documents", "source", "text"))
@@ -84,7 +89,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumn("rate", F.round(F.col("abusive") / F.col("documents"), 6))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _CANON = """
     w AS (SELECT entry_id, regexp_replace(lower(type), '[^a-z]', '', 'g') AS t,
@@ -102,5 +107,6 @@ SQL = {
     "p4_found": f"""
         WITH {_CANON}
         SELECT f.first_id, k.entry_id AS copy_id FROM k JOIN (SELECT k, min(entry_id) AS first_id FROM k GROUP BY k) f USING (k) WHERE k.entry_id <> f.first_id""",
+    "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_records": f"WITH {_CANON} SELECT min(entry_id) AS entry_id, count(*) AS copies FROM k GROUP BY k",
 }

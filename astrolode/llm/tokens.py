@@ -18,8 +18,8 @@ FOLDER = "/opt/tokenizers"
 # Fixed value: how byte-level BPE vocabularies of this family cut a text into words before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-#: Characters of a text that are encoded in one piece, and of the first window at a seam.
-LEAF, WINDOW = 1 << 13, 32
+#: Characters of a leaf of the tree, and of the first window at a seam; ids of a leaf when decoding.
+LEAF, WINDOW, LEAF_IDS = 1 << 10, 32, 1 << 10
 
 # Letters, digits, marks and white space on which all versions of Unicode agree.
 _LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
@@ -41,9 +41,10 @@ class ByteBPE:
         with open(file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.width = np.zeros(max(ranks.values()) + 1, np.int32)
+        self.bytes: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.width[rank] = len(token)
+            self.bytes[rank] = token
+        self.width = np.array([len(t or b"") for t in self.bytes], np.int32)
 
     def leaf(self, text: str) -> np.ndarray:
         return np.array(self.encode(text), np.int32)
@@ -56,8 +57,6 @@ class ByteBPE:
         """
         if not text:
             return np.empty(0, np.int32)
-        if len(text) <= leaf:
-            return self.leaf(text)
         return np.concatenate(self.tree(text, 0, len(text), leaf, window))
 
     def tree(self, text: str, lo: int, hi: int, leaf: int, window: int) -> list[np.ndarray]:
@@ -111,6 +110,22 @@ class ByteBPE:
     def drop_first(self, parts: list[np.ndarray], size: int) -> list[np.ndarray]:
         return [p[::-1] for p in self.drop_last([p[::-1] for p in parts[::-1]], size)][::-1]
 
+    def text(self, ids: np.ndarray, leaf: int = LEAF_IDS) -> str:
+        """The text that has these ids; halves are decoded by themselves and their bytes concatenated up the tree.
+
+        Bytes that are not UTF-8, which no encoded text has, become U+FFFD. Raises LookupError for an unknown id.
+        """
+        return self.bytes_of(ids, 0, len(ids), leaf).decode(errors="replace")
+
+    def bytes_of(self, ids: np.ndarray, lo: int, hi: int, leaf: int) -> bytes:
+        if hi - lo > leaf:
+            mid = (lo + hi) // 2
+            return self.bytes_of(ids, lo, mid, leaf) + self.bytes_of(ids, mid, hi, leaf)
+        part = ids[lo:hi]
+        if part.size and not (0 <= part.min() and part.max() < len(self.bytes) and self.width[part].all()):
+            raise LookupError("an id that the vocabulary doesn't have")
+        return b"".join([self.bytes[i] for i in part.tolist()])
+
 
 @lru_cache(maxsize=4)
 def tokenizer(name: str = "byte_bpe_50k", folder: str = FOLDER) -> ByteBPE:
@@ -157,8 +172,33 @@ def count(docs: DataFrame, *, text: str = "text", name: str = "byte_bpe_50k", fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(name, folder)
         for batch in batches:
-            sizes = [bpe.ids(t, leaf).size if len(t or "") > leaf else len(bpe.encode(t)) if t else 0 for _, texts in _portions(batch.column(len(keep))) for t in texts]
+            sizes = [bpe.ids(t, leaf).size for _, texts in _portions(batch.column(len(keep))) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], [*keep, "n_tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*[F.col(c) for c in keep], text).mapInArrow(run, f"{schema}, n_tokens long")
+
+
+def decode(coded: DataFrame, key: str = "doc_id", ids: str = "ids", *, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """key and text, of the ids that encode() gives; '' for an empty list, null for null and for ids that aren't known.
+
+    One pass without any exchange; rows with null or repeated keys are kept, other columns are ignored.
+    """
+    kind = coded.schema[key].dataType.simpleString()
+
+    def one(bpe: ByteBPE, value: pa.Scalar) -> str | None:
+        if not value.is_valid or value.values.null_count:
+            return None
+        try:
+            return bpe.text(value.values.to_numpy())
+        except LookupError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(name, folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(bpe, v) for v in part.column(1)], pa.string())], [key, "text"])
+
+    return coded.select(key, F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
