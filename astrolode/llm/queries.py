@@ -17,10 +17,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _copies(spark: SparkSession, folder: str) -> DataFrame:
-    entries = table(spark, folder, "system_catalog", "entry_id", "system", "type", "designation")
-    entries = Scratch(spark, "entries").write(refine.plain_writing(entries, ["system", "type", "designation"]))  # read by each step
-    keys = refine.designation_key("type", ["system", "designation"])
-    return refine.refined_classes(entries, "entry_id", keys["cheap"], keys["middle"], keys["exact"])
+    texts = ["system", "type", "designation"]
+    entries = refine.plain_writing(table(spark, folder, "system_catalog", "entry_id", *texts), texts)
+    return refine.refined_classes(entries, "entry_id", *refine.designation_key("type", ["system", "designation"]), columns=texts)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import salted_join
+from ..operators.skew import hottest, salted_join
 from ..storage import Scratch
 
-#: Classes of the first partition; their counts are small enough for every task.
-FIRST_CLASSES = 1 << 12
 
-
-def refined_classes(records: DataFrame, key: str, cheap: Column, middle: Column, exact: Column) -> DataFrame:
+def refined_classes(records: DataFrame, key: str, invariants: list[Column], exact: Column, *, columns: list[str]) -> DataFrame:
     """key, exact (as ``record``), first_key and copies of every row whose class under exact has two or more members.
 
-    cheap and middle must be equal wherever exact is equal. Each is evaluated only on rows whose class under the one
-    before has another member; singletons leave at once. Counts are aggregated before they move, and a class with any
-    share of the rows is salted when its rows meet its count. Rows with a null key or a null exact value are left out.
+    Each of the invariants, from the cheapest to the costliest, must be equal wherever exact is equal. Rows are parted
+    by the first; within the classes that have another member by the second, and so on; singletons leave at once, so
+    that exact is evaluated only on rows that agree in all invariants with another. columns: what invariants and exact
+    read. Classes are known by a hash of their invariants: two that clash stay together until exact parts them. Counts
+    are aggregated before they move, and a class with any share of the rows is salted when its rows meet its count.
+    Rows with a null key or a null exact value are left out; a row that stands there twice is one member.
     """
     scratch = Scratch(records.sparkSession, "refine")
-    rows = records.where(F.col(key).isNotNull()).withColumn("__c", F.pmod(F.xxhash64(cheap), F.lit(FIRST_CLASSES)))
-    crowded = rows.groupBy("__c").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__c")
-    rows = rows.join(F.broadcast(crowded), "__c", "left_semi")  # at most FIRST_CLASSES rows
-    rows = scratch.write(rows.withColumn("__m", F.xxhash64("__c", middle)).drop("__c"), "first")
-    crowded = rows.groupBy("__m").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__m")
-    rows = salted_join(rows, crowded, ["__m"], "left_semi", spread=F.xxhash64(key))
-    rows = scratch.write(rows.select(F.col(key), exact.alias("record")).where("record IS NOT NULL"), "second")
-    groups = rows.groupBy("record").agg(F.min(key).alias("first_key"), F.count_distinct(key).alias("copies")).where("copies > 1")
-    return salted_join(rows, groups, ["record"], spread=F.xxhash64(key)).distinct()
+    rows = records.where(F.col(key).isNotNull()).select(key, *columns).withColumn("__class", F.lit(0).cast("long"))
+    for i, invariant in enumerate(invariants):
+        held = scratch.write(rows.withColumn("__class", F.xxhash64("__class", invariant)), f"level{i}")
+        counts = held.groupBy("__class").agg(F.count(F.lit(1)).alias("__n"))
+        rows = salted_join(held, counts.where("__n > 1").select("__class"), ["__class"], "left_semi", spread=F.xxhash64(key), hot=hottest(counts, ["__class"], "__n"))
+    rows = scratch.write(rows.select(F.col(key), exact.alias("record")).where("record IS NOT NULL"), "exact")
+    groups = rows.groupBy("record").agg(F.min(key).alias("first_key"), F.count_distinct(key).alias("copies"), F.count(F.lit(1)).alias("__n")).where("copies > 1")
+    return salted_join(rows, groups.drop("__n"), ["record"], spread=F.xxhash64(key), hot=hottest(groups, ["record"], "__n")).distinct()
 
 
 # The full-width forms of the visible ASCII characters, dashes that stand for a minus sign, wide and
@@ -43,11 +42,15 @@ _FROM, _TO = _WIDE + _DASHES + _SPACES + _INVISIBLE, _NARROW + "-" * len(_DASHES
 
 def plain_writing(records: DataFrame, columns: list[str]) -> DataFrame:
     """records with these columns in narrow, lower-case characters without invisible ones."""
-    return records.withColumns({c: F.lower(F.translate(F.col(c), _FROM, _TO)) for c in columns})
+    ascii = lambda c: F.length(c) == F.octet_length(c)
+    return records.withColumns({c: F.lower(F.when(ascii(c), F.col(c)).otherwise(F.translate(F.col(c), _FROM, _TO))) for c in columns})
+
 
+def designation_key(catalogue: str, columns: list[str], signed: tuple[str, ...] = ("dz",)) -> tuple[list[Column], Column]:
+    """Invariants and the exact key by which designations of a catalogue, in plain writing, are refined.
 
-def designation_key(catalogue: str, columns: list[str], signed: tuple[str, ...] = ("dz",)) -> dict[str, Column]:
-    """The keys by which designations of a catalogue, in plain writing, are refined: 'cheap', 'middle' and 'exact'.
+    The invariants are the catalogue with the histogram of the digits (and so their number), then the digits in their
+    order; the exact key also tells the division into numbers, the component letter and the sign.
 
     A record is its catalogue, its numbers in their order and its component letter, whatever the white space, case,
     punctuation, width of characters and the order of catalogue and number; for signed catalogues also the sign before
@@ -60,7 +63,7 @@ def designation_key(catalogue: str, columns: list[str], signed: tuple[str, ...]
     told = F.concat(*[F.filter(F.coalesce(words(c), blank), lambda w: w.rlike(r"^\p{L}{2,}$")) for c in columns])
     name = F.when(named.isNotNull(), named).otherwise(F.coalesce(F.try_element_at(told, F.lit(1)), F.lit("")))
     digits = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{Nd}]+", "")
-    spread = lambda c: F.array_join(F.array_sort(F.split(digits(c), "")), "")
+    histogram = lambda c: F.array_join(F.sort_array(F.split(digits(c), "")), "")
 
     def content(c: str) -> Column:
         sign = F.when(name.isin(*signed), F.regexp_extract(F.col(c), r"^[^\p{Nd}]*?([-+])\s*\p{Nd}", 1)).otherwise(F.lit(""))
@@ -68,8 +71,4 @@ def designation_key(catalogue: str, columns: list[str], signed: tuple[str, ...]
         return F.when(held != "", F.concat(sign, held))
 
     both = lambda f: F.array_join(F.array_distinct(F.array_sort(F.filter(F.array(*[f(c) for c in columns]), lambda x: x.isNotNull() & (x != "")))), "|")
-    return {
-        "cheap": both(lambda c: F.length(digits(c)).cast("string")),
-        "middle": F.concat_ws(":", name, both(spread)),
-        "exact": F.nullif(F.concat_ws(":", name, both(content)), F.lit(":")),
-    }
+    return [F.concat_ws(":", name, both(histogram)), both(digits)], F.nullif(F.concat_ws(":", name, both(content)), F.lit(":"))

@@ -13,9 +13,9 @@ CASES = [
 def classes(spark, cases):
     df = spark.createDataFrame(cases, "entry_id long, system string, type string, designation string").withColumn("record", F.lit("clash"))
     plain = refine.plain_writing(df, ["system", "type", "designation"])
-    k = refine.designation_key("type", ["system", "designation"])
+    invariants, exact = refine.designation_key("type", ["system", "designation"])
     out = {}
-    for r in refine.refined_classes(plain, "entry_id", k["cheap"], k["middle"], k["exact"]).collect():
+    for r in refine.refined_classes(plain, "entry_id", invariants, exact, columns=["system", "type", "designation"]).collect():
         out.setdefault(r.first_key, [r.copies]).append(r.entry_id)
     return {first: (v[0], sorted(v[1:])) for first, v in out.items()}
 
