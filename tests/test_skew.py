@@ -3,7 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
-from astrolode.operators.skew import chunked_distinct, salted_join
+from astrolode.operators.skew import chunked_distinct, hottest, salted_join
 from astrolode.storage import Scratch, numbered
 
 
@@ -46,3 +46,28 @@ def test_salted_join_equals_plain_join(spark):
         assert rows(salted_join(a, b, ["k"], how, rows_per_task=50)) == rows(a.join(b, ["k"], how))
     got = salted_join(a, b, ["k"], "left_anti", rows_per_task=50, condition=(F.col("a") > 100) & (F.col("b") == "y"))
     assert got.count() == 104
+
+
+def test_thousands_of_hot_keys(spark, monkeypatch):
+    a = spark.range(60_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("a")).unionAll(spark.createDataFrame([(None, -1), (9_999, -2)], "k long, a long"))
+    b = spark.range(5001).select(F.col("id").alias("k"), (F.col("id") * 2).alias("b"))
+    counts = a.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for most in (10_000, 700):  # all listed, or most of them joined
+        hot = hottest(counts, ["k"], "n", rows_per_task=5, most=most)
+        assert (hot.others is None) == (most == 10_000)
+        split = hot.listed if hot.others is None else hot.listed.unionAll(hot.others)
+        assert split.where("__parts = 3").count() == 5000
+        for how in ("inner", "left", "left_anti"):
+            assert rows(salted_join(a, b, ["k"], how, hot=hot)) == rows(a.join(b, ["k"], how))
+
+
+def test_no_hot_key_needs_no_salt(spark):
+    a, b = spark.range(50).withColumnRenamed("id", "k"), spark.range(9).withColumnRenamed("id", "k")
+    assert "__salt" not in salted_join(a, b, ["k"])._jdf.queryExecution().toString()
+
+
+def test_rows_are_not_moved_again_after_numbering(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    plan = chunked_distinct(df, ["k"], "v", chunk_rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning") < plan.index("MapInArrow")  # from the top: states are exchanged, rows are not
+    assert "hashpartitioning" not in plan[plan.index("MapInArrow") :]
