@@ -29,6 +29,19 @@ def _close(metric: str, a: np.ndarray, b: np.ndarray, d: np.ndarray, radius: flo
     return np.einsum("ij,ij->i", x, x) <= radius * radius
 
 
+def apart(pivots: np.ndarray, least: float, distance) -> np.ndarray:
+    """Those of the pivots, in their order, that are at least that far from all taken before."""
+    taken = pivots[:1]
+    for at in range(1, len(pivots), 64):
+        block = pivots[at : at + 64]
+        block = block[(distance(block[:, None, :], taken[None, :, :]) >= least).all(1)]
+        while len(block):
+            one, block = block[:1], block[1:]
+            taken = np.concatenate([taken, one])
+            block = block[distance(block, one) >= least]
+    return taken
+
+
 def radius_pairs(points: DataFrame, radius: float, *, coordinates: list[str], metric: str = "euclidean", cell_rows: int = CELL_ROWS, most_pivots: int = MOST_PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of a point of kind 0 with a point of kind 0 or 1 at a distance of at most radius.
 
@@ -38,8 +51,9 @@ def radius_pairs(points: DataFrame, radius: float, *, coordinates: list[str], me
     coordinate, or without id, have no place and are left out. metric: euclidean (any number of coordinates) or
     great_circle (latitude and longitude in degrees, radius in km).
 
-    1. Pivots are drawn from the points by a hash; a Voronoi partition gives each point to its nearest pivot. The draw
-       decides about the balance of the cells only.
+    1. Pivots are drawn from the points by a hash; those within 2 r of another are left out, so that a dense heap is one
+       cell, cut into blocks, rather than many cells whose points are guests of each other. A Voronoi partition gives
+       each point to its nearest pivot. The draw decides about the balance of the cells only.
     2. A point q of cell i also goes, as a guest, to each cell j < i that may hold a point o within the radius r: from
        d(q, o) <= r and d(o, p_j) <= d(o, p_i) follows d(q, p_j) <= d(q, p_i) + 2 r. For the Euclidean metric, q must
        also be within r of the plane halfway between the pivots. Each pair thus meets in exactly one cell.
@@ -55,8 +69,8 @@ def radius_pairs(points: DataFrame, radius: float, *, coordinates: list[str], me
     n = points.count()
     every = max(1, n // min(most_pivots, max(1, n // cell_rows)))
     drawn = points.where(F.pmod(F.xxhash64(*coordinates), F.lit(every)) == 0).select(*coordinates).distinct().limit(2 * most_pivots).collect()
-    pivots = np.array(sorted(tuple(r) for r in drawn) or [(0.0,) * len(coordinates)], float)
     distance = METRICS[metric]
+    pivots = apart(np.array(sorted(tuple(r) for r in drawn) or [(0.0,) * len(coordinates)], float), 2 * radius, distance)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = VantageTree(pivots, distance)

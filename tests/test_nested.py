@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from astrolode.operators.nested import flatten
+from astrolode.operators.nested import flatten, tables
 from astrolode.plans.biology import SHAPES
 from astrolode.sources.json_events import ARRAY, OBJECT, Malformed, events
 
@@ -31,6 +31,25 @@ def test_shapes(spark):
     assert rows(flatten(df, SHAPES)) == want
 
 
+def test_tables_of_any_depth(spark):
+    record = {"genus": "g", "seen": {"by": "x", "n": 2}, "species": [{"name": "s", "samples": [{"lat": 1.5, "tags": ["a", None, "b"]}, {}]}, None, "t"]}
+    df = spark.createDataFrame([(1, "genuses", json.dumps([record, record])), (1, "genuses", json.dumps([record, record])), (2, "genuses", json.dumps({"genuses": [{"genus": "h"}]})), (3, "genuses", "[broken")], "key long, field string, text string")
+    got = {at: t for (_, at), t in tables(df, SHAPES).items()}
+    assert sorted(got) == ["genuses", "genuses.species", "genuses.species.samples", "genuses.species.samples.tags"]
+    assert rows(got["genuses"].select("key", "parent", "ordinals", "genus", "`seen.by`", "`seen.n`", "others")) == [(1, [], [0], "g", "x", "2", None), (1, [], [1], "g", "x", "2", None), (2, [], [0], "h", None, None, None)]
+    assert rows(got["genuses.species"].where("ordinals[0] = 1").select("key", "parent", "ordinals", "bare", "name")) == [(1, [1], [1, 0], None, "s"), (1, [1], [1, 2], "t", None)]
+    assert rows(got["genuses.species.samples"].where("parent = array(0, 0)").select("ordinals", "lat")) == [([0, 0, 0], "1.5"), ([0, 0, 1], None)]
+    assert rows(got["genuses.species.samples.tags"].where("parent = array(0, 0, 0)").select("ordinals", "bare")) == [([0, 0, 0, 0], "a"), ([0, 0, 0, 2], "b")]
+    # every child meets its parent
+    a, b = got["genuses.species.samples"], got["genuses.species"].select("key", "version", F.col("ordinals").alias("parent"))
+    assert a.join(b, ["key", "version", "parent"], "left_anti").count() == 0
+    few = tables(df, SHAPES, columns={("genuses", "genuses"): ["genus"]})["genuses", "genuses"]
+    assert rows(few.where("key = 1 AND ordinals[0] = 0").select("genus", "others")) == [("g", {"seen.by": "x", "seen.n": "2"})]
+    assert tables(df.limit(0), SHAPES) == {}
+    odd = spark.createDataFrame([(1, "genuses", '[{"key": "a", "Genus": "b", "genus": "c", "bare": "d"}]')], "key long, field string, text string")
+    assert [(c, v) for c, v in tables(odd, SHAPES)["genuses", "genuses"].first().asDict().items() if isinstance(v, str)] == [("Genus", "b"), ("bare~2", "d"), ("genus~2", "c"), ("key~2", "a")]
+
+
 def test_two_texts_of_one_key_and_depth(spark):
     deep = "[" * 5000 + "]" * 5000
     df = spark.createDataFrame([(1, "genuses", '["a"]'), (1, "genuses", '["b"]'), (2, "genuses", deep)], "key long, field string, text string")

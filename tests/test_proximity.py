@@ -4,8 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from astrolode.functions.metrics import VantageTree, great_circle
-from astrolode.operators.proximity import radius_pairs
+from astrolode.functions.metrics import VantageTree, euclidean, great_circle
+from astrolode.operators.proximity import apart, radius_pairs
 
 
 def brute(points, radius, d):
@@ -64,3 +64,12 @@ def test_tree_with_equal_points():
     full = np.linalg.norm(q[:, None] - points[None], axis=2)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(full <= 1.0)), strict=True))
     assert np.allclose(tree.nearest(q)[1], full.min(1)) and (tree.nearest(q)[0] == full.argmin(1)).all()
+
+
+def test_pivots_are_apart_and_near_every_point():
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(0, 1, (2000, 3)), rng.normal(0, 300, (300, 3))])
+    kept = apart(points, 24.0, euclidean)
+    d = euclidean(kept[:, None], kept[None])
+    assert (d[~np.eye(len(kept), dtype=bool)] >= 24).all()
+    assert (euclidean(points[:, None], kept[None]).min(1) < 24).all() and len(apart(points[:1], 5.0, euclidean)) == 1
