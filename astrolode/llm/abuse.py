@@ -3,32 +3,21 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .passages import pieces, words
 from .plainwriting import DISGUISE, MASK, plain
 
-# Words that are often abusive, by kind, in four languages; what they weigh is learnt, kind by kind.
-WORDS = {
-    "xinsultx": "arsehole asshole bastard bitch cretin cunt dickhead dumbass idiot imbecile maggot moron prick scum scumbag slut twat wanker whore shit piss"
-    " arschloch drecksau drecksack fotze hurensohn missgeburt schlampe wichser depp hure arsch scheißkerl mistkerl dreckskerl fresse scheiße"
-    " connard connasse crétin enculé pétasse putain pute salaud salope abruti gueule merde enfoiré"
-    " cabrón gilipollas hijueputa imbécil maricón mierda puta zorra desgraciado pendejo cojones joder hostia",
-    "xlewdx": "blowjob boobs clit cock cum cunt dick fuck fucked fucking horny naked orgasm pussy tits titties suck"
-    " ficken fick möse schwanz titten geil bite baiser baise foutre chatte couilles nichons seins polla coño follar tetas verga",
-    "xsubhumanx": "animals cockroaches filth parasites rats savages subhuman vermin degenerates ungeziefer untermenschen abschaum"
-    " vermine parasites sous-hommes racaille alimañas infrahumanos ratas escoria",
-    "xharmx": "burn drown drowned gut hang kill rot shoot smash strangle beaten wipe exterminate verrecke erschlagen zündet vergasen crève brûle égorger quemad matar mueras muérete",
-}
-_KIND = {w: k for k, words in WORDS.items() for w in words.split()}
-
 # Names of groups of people, as far as they are known beforehand; others are found in the labelled texts.
 GROUPS = (
     "women men girls boys gays lesbians homosexuals jews muslims christians catholics hindus blacks whites asians arabs turks poles"
@@ -36,208 +25,263 @@ GROUPS = (
     " femmes juifs musulmans arabes étrangers immigrés mujeres judíos musulmanes moros extranjeros inmigrantes"
 ).split()
 
-#: What the weight of a kind of listed words is drawn to, as far as the labels don't say otherwise.
-EXPECTED = 1.5
-
 #: The usual threshold on the log-odds of a passage, and the abusive texts that it counts as.
 PRIOR_THRESHOLD, PRIOR_TEXTS = -1.5, 20
 
-#: The abusive texts that a pair of words must stand in to be a cue by itself.
-PAIR_TEXTS = 2
-
-_SPLIT = re.compile(r"[.!?:;\"«»“”„|()\[\]{}¶§]+|\n\s*\n|[0-9][0-9,.]*")
-_NAME = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][a-zß-ÿ]+")
-_SMALL = re.compile(r"(?<=[a-zß-ÿ,] )[a-zß-ÿ]+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-
-
-def segments(text: str | None) -> list[list[str]]:
-    """The words of each passage of a text, in plain writing."""
-    return cut(plain(text)) if text else []
+#: The abusive texts that a feature must stand in to speak for abuse: a wrong label makes what stands in one text heavy.
+LEAST_TEXTS = 2
 
+#: What a passage of an abusive text counts as a sound one where another passage clearly earned the label.
+OTHERS = 0.5
 
-def cut(text: str) -> list[list[str]]:
-    """The words of each passage of a text that is in plain writing already."""
-    return [words for part in _SPLIT.split(text) if (words := _WORD.findall(part))]
+#: How much an n-gram counts beside a word or a pair of words.
+GRAM_SHARE = 0.3
 
-
-def features(words: list[str]) -> list[str]:
-    """Words, neighbouring words, and the kinds of listed words."""
-    kinds = [_KIND[w] for w in words if w in _KIND]
-    out = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    return list(dict.fromkeys(out + kinds))
+_NAME = re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][a-zß-ÿ]+")
+_SMALL = re.compile(r"(?<=[a-zß-ÿ,] )[a-zß-ÿ]+")
+_BITS = np.uint64(45)  # 2 ** 19 places of the first test of a feature
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
-    """score of a passage = bias + the weights of its features if it holds a cue; a text scores as its worst passage.
+    """score of a passage = bias + the weights of its features; a text scores as its worst passage.
 
-    Cues are the words of features with a notable positive weight that are rare in sound texts, and pairs of words with
-    such a weight that are rare there and stand in several abusive texts, however frequent each of the two words is.
+    Features are words, pairs of neighbouring words and character n-grams of words, each once in a passage, known by
+    64-bit hashes in ascending order. A passage without any feature of the model scores the bias.
     """
 
     bias: float
-    weights: dict[str, float]
+    features: np.ndarray
+    weights: np.ndarray
     threshold: float = 0.0
-    groups: list[str] = field(default_factory=list)
-    cues: frozenset[str] = frozenset()
-    pairs: frozenset[tuple[str, str]] = frozenset()
-
-    def cued(self, words: Sequence[str]) -> bool:
-        return not self.cues.isdisjoint(words) or not self.pairs.isdisjoint(zip(words, words[1:], strict=False))
-
-    def passage(self, words: list[str]) -> float:
-        if not self.cued(words):
-            return self.bias
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(words))
+    groups: tuple[str, ...] = field(default=())
+
+    @cached_property
+    def _known(self) -> np.ndarray:
+        known = np.zeros(1 << 19, bool)
+        known[self.features >> _BITS] = True
+        return known
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The log-odds of the worst passage of each text, the bias at least."""
+        out = np.full(len(texts), self.bias)
+        if not self.features.size:
+            return out
+        for places, part in pieces([plain(t) if t else "" for t in texts]):
+            w = words(part)
+            hashes, at = w.features()
+            maybe = np.flatnonzero(self._known[hashes >> _BITS])
+            i = np.searchsorted(self.features, hashes[maybe])
+            i[i == self.features.size] = 0
+            true = self.features[i] == hashes[maybe]
+            once = np.unique(at[maybe[true]] * self.features.size + i[true])
+            passage, i = np.divmod(once, self.features.size)
+            if passage.size:
+                number, first = np.unique(passage, return_index=True)
+                np.maximum.at(out, np.array(places)[w.doc[number]], self.bias + np.add.reduceat(self.weights[i], first))
+        return out
+
+    def weight(self, said: str) -> float:
+        """The weight of a word, or of a pair of words, in plain writing."""
+        w = words([said])
+        i = int(np.searchsorted(self.features, (w.pair if w.pair.size else w.word)[0])) if w.word.size else self.features.size
+        return float(self.weights[i]) if i < self.features.size and self.features[i] == (w.pair if w.pair.size else w.word)[0] else 0.0
 
     def score(self, text: str | None) -> float:
-        """The log-odds of the worst passage; passages without a cue, which most texts lack, score the bias."""
-        return max((self.passage(words) for words in segments(text)), default=self.bias)
+        return float(self.scores([text])[0])
 
 
-def find_groups(passages: list[tuple[str, ...]], in_bad: np.ndarray, in_good: np.ndarray, names: set[str], known: Iterable[str] = GROUPS, least: int = 3, shares: int = 2) -> list[str]:
+@dataclass
+class _Sample:
+    """The distinct passages of labelled texts, their features, and the texts that hold them."""
+
+    passages: list[str]
+    owners: list[np.ndarray]  # passages of each text
+    hashes: np.ndarray  # distinct features, ascending
+    row: np.ndarray  # passage and feature, sorted by passage
+    col: np.ndarray
+    is_gram: np.ndarray  # of each feature
+
+
+def _features(passages: list[str], offset: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """passage, hash and whether it is an n-gram, once each."""
+    rows, hashes, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    for places, part in pieces(passages):
+        w = words(part)
+        h, at = w.features()
+        at = np.array(places, np.int64)[w.doc[at]] if h.size else at
+        gram = np.arange(h.size) >= w.word.size + w.pair.size
+        order = np.lexsort((h, at))
+        new = np.ones(h.size, bool)
+        new[1:] = (np.diff(at[order]) != 0) | (np.diff(h[order]) != 0)
+        rows.append(at[order][new] + offset)
+        hashes.append(h[order][new])
+        grams.append(gram[order][new])
+    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(grams)
+
+
+def _sample(texts: list[str | None], y: np.ndarray) -> _Sample:
+    """Features that stand in one passage only are left out, and n-grams that stand in less than LEAST_TEXTS abusive texts."""
+    known: dict[str, int] = {}
+    owners: list[list[int]] = [[] for _ in texts]
+    for places, part in pieces([plain(t) if t else "" for t in texts]):
+        w = words(part)
+        for doc, p in zip(w.doc.tolist(), w.passages(), strict=True):
+            owners[places[doc]].append(known.setdefault(" ".join(p.split()), len(known)))
+    own = [np.unique(np.array(o, np.int64)) for o in owners]
+    passages = list(known)
+    row, hashes, gram = _features(passages)
+    names, col = np.unique(hashes, return_inverse=True)
+    is_gram = np.zeros(names.size, bool)
+    is_gram[col[gram]] = True
+    held = np.bincount(np.concatenate([np.empty(0, np.int64), *own]), minlength=len(passages))
+    bad = _in_texts(row, col, [o for o, v in zip(own, y, strict=True) if v], names.size)
+    keep = (np.bincount(col, held[row], names.size) > 1) & (~is_gram | (bad >= LEAST_TEXTS))
+    new = np.cumsum(keep) - 1
+    row, col = row[keep[col]], new[col[keep[col]]]
+    return _Sample(passages, own, names[keep], row, col, is_gram[keep])
+
+
+def _in_texts(row: np.ndarray, col: np.ndarray, owners: list[np.ndarray], size: int) -> np.ndarray:
+    """How many of the texts hold each feature; row is sorted."""
+    out = np.zeros(size)
+    last = int(row[-1]) + 1 if row.size else 0
+    ends = np.searchsorted(row, np.arange(last + 1))
+    for own in owners:
+        held = [col[ends[i] : ends[i + 1]] for i in own if i < last]
+        if held:
+            out[np.unique(np.concatenate(held))] += 1
+    return out
+
+
+def find_groups(passages: list[str], in_bad: np.ndarray, in_good: np.ndarray, names: set[str], known: Iterable[str] = GROUPS, least: int = 3, shares: int = 2) -> list[str]:
     """Names that stand in the same places as each other in abusive texts and not in others: groups that are spoken of.
 
     A place is a pair of neighbours. Names are taken that share at least ``shares`` places with another name, where these
-    places occur in ``least`` abusive texts or more and four times as often as in others. in_bad, in_good: the texts of either kind that
-    hold each passage. names: words that are mostly written with a capital within a sentence.
+    places occur in ``least`` abusive texts or more and four times as often as in others. in_bad, in_good: the texts of
+    either kind that hold each passage. names: words that are mostly written with a capital within a sentence.
     """
     bad, good = Counter(), Counter()
     fillers: dict[tuple[str, str], set[str]] = {}
-    for words, b, g in zip(passages, in_bad, in_good, strict=True):
-        for a, w, c in zip(words, words[1:], words[2:], strict=False):
-            if b:
+    for p, b, g in zip(passages, in_bad, in_good, strict=True):
+        said = p.split(" ")
+        if b:
+            for a, w, c in zip(said, said[1:], said[2:], strict=False):
                 bad[a, c] += int(b)
                 if w in names:
                     fillers.setdefault((a, c), set()).add(w)
-            if g:
-                good[a, c] += int(g)
+    for p, g in zip(passages, in_good, strict=True):
+        if g:
+            said = p.split(" ")
+            for at in zip(said, said[2:], strict=False):
+                if at in fillers:
+                    good[at] += int(g)
     shared: dict[str, Counter] = {}
-    for place, words in fillers.items():
-        if len(words) > 1 and bad[place] >= max(least, 4 * good[place]):
-            for w in words:
-                shared.setdefault(w, Counter()).update(words - {w})
-    found = {w for w, c in shared.items() if max(c.values()) >= shares and w not in _KIND and w not in (MASK, DISGUISE)}
+    for place, held in fillers.items():
+        if len(held) > 1 and bad[place] >= max(least, 4 * good[place]):
+            for w in held:
+                shared.setdefault(w, Counter()).update(held - {w})
+    found = {w for w, c in shared.items() if max(c.values()) >= shares and w not in (MASK, DISGUISE)}
     return sorted(found | set(known))
 
 
-def train(texts: list[str | None], labels: list[int], *, rounds: int = 4, steps: int = 150, ridge: float = 0.003, swap: float = 1.0, groups: Iterable[str] | None = None, seed: int = 5) -> Model:
-    """Fit a model on texts with noisy labels (1: some passage is abusive, 0: none).
+def train(texts: list[str | None], labels: list[int], *, rounds: int = 4, steps: int = 60, ridge: float = 0.003, swap: float = 2.0, groups: Iterable[str] | None = None, seed: int = 5) -> Model:
+    """Fit a model on texts with noisy labels (1: some passage is abusive, 0: none). No word is known to be abusive beforehand.
 
     The label of a text says nothing about which passage earned it: each round, the worst passage of each abusive text
     (at first by how much more often its features are in abusive texts) and all passages of the others are fitted by
     logistic regression. Counterfactual regularisation: for passages that name a group, the same passage about another
     group is made, and the squared change of the score is penalised with the weight ``swap``; where a group is named
-    without abuse or with it, the name itself thus carries next to nothing.
+    without abuse or with it, the name itself thus carries next to nothing. A feature that stands in fewer than
+    LEAST_TEXTS abusive texts can't speak for abuse, only against it.
 
     Texts may be None, empty or of any length. Without both kinds of labels the model scores everything below its
     threshold.
     """
     y = np.asarray(labels, bool)
     if not y.any() or y.all():
-        return Model(-9.0, {}, 0.0)
-    held: dict[tuple[str, ...], int] = {}
-    owners = [np.array(sorted({held.setdefault(tuple(map(sys.intern, w)), len(held)) for w in segments(t)}), np.int64) for t in texts]
-    passages = list(held)
-
-    in_bad, in_good = np.zeros(len(passages)), np.zeros(len(passages))
-    for own, v in zip(owners, y, strict=True):
+        return Model(-9.0, np.empty(0, np.uint64), np.empty(0))
+    s = _sample(texts, y)
+    n, size = len(s.passages), s.hashes.size
+    in_bad, in_good = np.zeros(n), np.zeros(n)
+    for own, v in zip(s.owners, y, strict=True):
         (in_bad if v else in_good)[own] += 1
-    names = sorted(set(groups)) if groups is not None else find_groups(passages, in_bad, in_good, capitalised(texts))
-    seen: Counter[str] = Counter()
-    for p, n in zip(passages, in_bad + in_good, strict=True):
-        for f in features(list(p)):
-            seen[f] += int(n)
-    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
-    del seen
-
-    def matrix(rows: Iterable[Iterable[str]]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [np.array([index[f] for f in features(list(r)) if f in index], np.int32) for r in rows]
-        return np.concatenate([*lists, np.empty(0, np.int32)]), np.concatenate([[0], np.cumsum([r.size for r in lists])]).astype(np.int64)
-
-    cols, ends = matrix(passages)
-    size = len(index)
-    row_of = np.repeat(np.arange(len(passages)), np.diff(ends))
-
-    # how much more often than by chance a feature, or a whole passage, is in abusive texts
-    bad, good = np.zeros(size), np.zeros(size)
-    for own, v in zip(owners, y, strict=True):
-        if own.size:
-            (bad if v else good)[np.unique(np.concatenate([cols[ends[i] : ends[i + 1]] for i in own]))] += 1
+    names = sorted(set(groups)) if groups is not None else find_groups(s.passages, in_bad, in_good, capitalised(texts))
+    row, col = s.row, s.col
+    value = np.where(s.is_gram, GRAM_SHARE, 1.0)
+
+    # how much more often than by chance a feature is in abusive texts
+    bad = _in_texts(row, col, [o for o, v in zip(s.owners, y, strict=True) if v], size)
+    good = _in_texts(row, col, [o for o, v in zip(s.owners, y, strict=True) if not v], size)
     rate = y.mean()
     odds = np.log((bad + 3 * rate) / (bad + good + 3) / rate)
     excess = (bad - (bad + good) * rate) / np.sqrt((bad + good) * rate * (1 - rate) + 1)
-    told = np.where((bad >= 2) & (excess >= 1.5), odds, 0.0)
-    expected = np.zeros(size)
-    for kind in [*WORDS, MASK, DISGUISE]:
-        if kind in index:
-            expected[index[kind]] = EXPECTED
-    told = np.maximum(told, expected)
-    score = np.bincount(row_of, told[cols], len(passages)) - 2.0
-    listed = np.array([any(x in _KIND or x == MASK for x in p) for p in passages])
-    common = (in_good >= 2) & (in_bad < 3 * in_good)  # what sound texts hold as well did not earn the label
+    told = np.where((bad >= LEAST_TEXTS) & (excess >= 1.5) & ~s.is_gram, odds, 0.0)
+    length = np.maximum(1, np.bincount(row, ~s.is_gram[col], n))
+    score = np.bincount(row, told[col], n) / np.sqrt(length) - 2.0  # a sentence that repeats word by word is evidence once
 
-    # passages about groups and the same ones about others
-    rng = np.random.default_rng(seed)
-    group = set(names)
-    pairs_a, pairs_b = [], []
-    for p in passages:
-        at = [i for i, w in enumerate(p) if w in group]
-        if at and len(names) > 1:
-            other = list(p)
-            for i in at:
-                other[i] = names[rng.integers(len(names))]
-            pairs_a.append(list(p))
-            pairs_b.append(other)
-    ca, ea = matrix(pairs_a)
-    cb, eb = matrix(pairs_b)
-    ra, rb = np.repeat(np.arange(len(pairs_a)), np.diff(ea)), np.repeat(np.arange(len(pairs_b)), np.diff(eb))
-
-    w, bias = np.zeros(size), -3.0
+    ra, ca, rb, cb = _swapped(s, names, np.random.default_rng(seed))
+    pairs = max(ra.max(initial=-1), rb.max(initial=-1)) + 1
+
+    common = (in_good >= 2) & (in_bad < 3 * in_good)  # what sound texts hold as well did not earn the label
+    w, bias = np.zeros(size), -6.0
+    below = bad < LEAST_TEXTS
+    x = value[col]
     for turn in range(rounds):
-        positive = np.zeros(len(passages))
-        for own, v in zip(owners, y, strict=True):
-            own = own[~common[own] & (score[own] > 0 if turn == 0 else score[own] > -1)]
-            if turn == 0 and listed[own].any():  # where listed words stand, they are the first suspects
-                own = own[listed[own]]
-            if v and own.size:  # else the label is taken for an error
-                positive[own[np.argmax(score[own])]] += 1
-        weight_bad, weight_good = positive, np.sqrt(in_good)
-        use = (weight_bad + weight_good) > 0
-        pick = use[row_of]
-        c, r = cols[pick], row_of[pick]
+        positive, rest = np.zeros(n), np.zeros(n)
+        for own, v in zip(s.owners, y, strict=True):
+            if v:
+                may = own[~common[own] & (score[own] > 0 if turn == 0 else score[own] > -1)]
+                if may.size:  # else the label is taken for an error
+                    best = may[np.argmax(score[may])]
+                    positive[best] += 1
+                    rest[own[score[own] < score[best] - 2]] += OTHERS
+        weight_bad, weight_good = positive, np.sqrt(in_good + rest)
         total = weight_bad.sum() + weight_good.sum()
         slope, spread = np.zeros(size + 1), np.zeros(size + 1)
         for step in range(1, steps + 1):
-            z = bias + np.bincount(r, w[c], len(passages))
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            d = (weight_good + weight_bad) * p - weight_bad
-            d[~use] = 0
-            grad = np.bincount(c, d[r], size)
-            if swap and len(pairs_a):
-                gap = np.bincount(ra, w[ca], len(pairs_a)) - np.bincount(rb, w[cb], len(pairs_b))
-                grad += swap * (np.bincount(ca, gap[ra], size) - np.bincount(cb, gap[rb], size))
-            grad += ridge * total * (w - expected) / 100
+            q = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, (w * value)[col], n), -30, 30)))
+            d = (weight_good + weight_bad) * q - weight_bad
+            grad = np.bincount(col, d[row] * x, size)
+            if swap and pairs:
+                own = w * value
+                gap = np.bincount(ra, own[ca], pairs) - np.bincount(rb, own[cb], pairs)
+                grad += swap * value * (np.bincount(ca, gap[ra], size) - np.bincount(cb, gap[rb], size))
+            grad += ridge * total * w / 100
             grad = np.append(grad, d.sum())
             slope = 0.9 * slope + 0.1 * grad
             spread = 0.99 * spread + 0.01 * grad**2
             move = slope / (1 - 0.9**step) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8) * (0.12 * (1 - step / steps) + 0.003)
             w -= move[:-1]
+            w[below] = np.minimum(w[below], 0)
             bias -= move[-1]
-        score = bias + np.bincount(row_of, w[cols], len(passages))
-    sound = Counter(x for own, v in zip(owners, y, strict=True) if not v for x in {x for i in own for x in passages[i]})
-    often = 0.02 * (~y).sum()
-    words = {x for f, i in index.items() if w[i] >= 0.3 for x in f.split()} | {x for x, k in _KIND.items() if k in index and w[index[k]] >= 0.3}
-    cues = frozenset(x for x in words if sound[x] <= often)
-    # a wrong label makes pairs of one text heavy: it takes several texts to make a cue
-    pairs = frozenset(tuple(f.split(" ")) for f, i in index.items() if " " in f and w[i] >= 0.3 and bad[i] >= PAIR_TEXTS and good[i] <= often)
-    model = Model(float(bias), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, 0.0, names, cues, pairs)
-    cued = np.array([model.cued(p) for p in passages])
-    worst = np.array([score[own[cued[own]]].max(initial=bias) if own.size else bias for own in owners])
+        score = bias + np.bincount(row, (w * value)[col], n)
+    worst = np.array([score[own].max(initial=bias) for own in s.owners])
     few = PRIOR_TEXTS / (PRIOR_TEXTS + int(y.sum()))  # a threshold fitted on few abusive texts is drawn to the usual one
-    model.threshold = (1 - few) * best_threshold(worst, y) + few * PRIOR_THRESHOLD
-    return model
+    threshold = max((1 - few) * best_threshold(worst, y) + few * PRIOR_THRESHOLD, bias + 0.1)
+    heavy = np.abs(w * value) > 0.02
+    return Model(float(bias), s.hashes[heavy], (w * value)[heavy], float(threshold), tuple(names))
+
+
+def _swapped(s: _Sample, names: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and feature of the passages that name a group, and of the same ones about another group."""
+    group = set(names)
+    first, second = [], []
+    if len(names) > 1:
+        for p in s.passages:
+            said = p.split(" ")
+            if not group.isdisjoint(said):
+                first.append(p)
+                second.append(" ".join(names[rng.integers(len(names))] if x in group else x for x in said))
+
+    def known(passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        row, hashes, _ = _features(passages)
+        i = np.searchsorted(s.hashes, hashes)
+        i[i == s.hashes.size] = 0
+        true = s.hashes[i] == hashes if s.hashes.size else np.zeros(i.size, bool)
+        return row[true], i[true]
+
+    return *known(first), *known(second)
 
 
 def capitalised(texts: Iterable[str | None], share: float = 0.6) -> set[str]:
@@ -268,23 +312,34 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, tolerance: float = 0.
     return float(0.2 * below(first) + 0.8 * below(last))
 
 
-#: Labelled documents that a model is fitted on, at most.
-MOST_LABELLED = 8000
+#: Labelled documents that a model is fitted on, at most, and characters of their texts.
+MOST_LABELLED, MOST_CHARACTERS = 8000, 1 << 26
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "abusive", most: int = MOST_LABELLED, **how) -> Model:
-    """A model fitted on at most ``most`` labelled documents, those with the least hashes of their keys.
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "abusive", most: int = MOST_LABELLED, most_characters: int = MOST_CHARACTERS, **how) -> Model:
+    """A model fitted on at most ``most`` labelled documents with at most most_characters in all, by hashes of their keys.
 
-    The label of a document is what most of its readers said; null labels and ties say nothing. Whole texts are read.
+    The label of a document is what most of its readers said; null labels and ties say nothing. Whole texts are read; a
+    text that alone has more than most_characters is not drawn. One task fits the model, which alone goes to the driver.
     """
     said = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.avg(label).alias("said")).where("said <> 0.5")
     drawn = said.orderBy(F.xxhash64(key), key).limit(most)
-    rows = docs.select(key, text).join(F.broadcast(drawn), key).orderBy(F.xxhash64(key), key).select(text, F.col("said") > 0.5).toLocalIterator()
-    texts, marks = [], []
-    for t, bad in rows:
-        texts.append(t)
-        marks.append(int(bad))
-    return train(texts, marks, **how)
+    order = W.partitionBy("one").orderBy(F.xxhash64("key"), "key")  # of the drawn ones alone
+    held = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") <= most_characters)
+    held = held.join(F.broadcast(drawn.select(F.col(key).alias("key"), "said")), "key").withColumn("one", F.lit(1))
+    held = held.where(F.col("text").isNotNull()).withColumn("so_far", F.sum(F.length("text")).over(order)).where(F.col("so_far") <= most_characters)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        m = train(rows["text"].tolist(), (rows["said"] > 0.5).astype(int).tolist(), **how)
+        return pd.DataFrame([[m.bias, m.features.tobytes(), m.weights.tobytes(), m.threshold, list(m.groups)]], columns=["bias", "features", "weights", "threshold", "groups"])
+
+    fitted = held.select("one", F.struct(F.xxhash64("key").alias("h"), "key").alias("k"), "text", "said").withColumn("place", F.row_number().over(W.partitionBy("one").orderBy("k"))).drop("k")
+    got = fitted.groupBy("one").applyInPandas(one, "bias double, features binary, weights binary, threshold double, groups array<string>").collect()
+    if not got:
+        return train([], [])
+    m = got[0]
+    return Model(m["bias"], np.frombuffer(bytes(m["features"]), np.uint64), np.frombuffer(bytes(m["weights"])), m["threshold"], tuple(m["groups"]))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score") -> DataFrame:
@@ -293,12 +348,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "s
     Null and empty texts score as a text without any suspicious word. One pass without an exchange; other columns stay.
     """
     keep = [c for c in docs.columns if c != text]
-    blank = float(model.bias - model.threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t.as_py()) - model.threshold if t.is_valid else blank for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, column])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                scores = model.scores(part.column(len(keep)).to_pylist()) - model.threshold
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*[F.col(c) for c in keep], text).mapInArrow(run, f"{schema}, `{column}` double")

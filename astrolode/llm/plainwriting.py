@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
+
 # Cyrillic and Greek letters that look like Latin ones, in the order of the Latin letters after them.
 _LOOKALIKES = "аеорсухѕіјкмнвтԁԛԝһɡӏαορνικτυχ", "aeopcyxsijkmhbtdqwhglaopviktux"
 # Signs in the place of letters.
@@ -23,8 +25,6 @@ _HAS_SIGN = re.compile(r"[013457@$!€|]")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _MASKED = re.compile(r"(?<!\w)[^\W\d_](?:\*{2,})[^\W\d_]*(?!\w)")
 
-_THRICE = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"]
-
 #: Words put in for what can't be read back, and after what was.
 MASK, DISGUISE = "xmaskx", "xdisguisex"
 
@@ -42,6 +42,13 @@ def _signs(m: re.Match) -> str:
     return f"{word.translate(_SIGN_FOR)} {DISGUISE}"
 
 
+def _thrice(text: str) -> bool:
+    """Whether a letter stands three times in a row."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = a[1:] == a[:-1]
+    return any(chr(c).isalpha() for c in set(a[2:][same[1:] & same[:-1]].tolist()))
+
+
 def plain(text: str) -> str:
     """Lower case, without look-alikes, invisible characters, signs for letters, gaps in words and stretched letters."""
     if not text.isascii():
@@ -60,6 +67,6 @@ def plain(text: str) -> str:
         text = _SIGNED.sub(_signs, text)
     if "**" in text:
         text = _MASKED.sub(MASK, text)
-    if any(c in text for c in _THRICE):
+    if _thrice(text):
         text = _STRETCHED.sub(r"\1", text)
     return text

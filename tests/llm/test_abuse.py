@@ -1,8 +1,10 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
-from astrolode.llm import abuse
+from astrolode.llm import abuse, passages
 from astrolode.llm.plainwriting import DISGUISE, plain
 
 GROUPS = ["Orlun", "Pesh", "Vardi", "Tollen"]
@@ -56,7 +58,7 @@ def test_groups_are_found_and_swaps_even_their_weights():
         labels.append(int(bad))
     even, odd = (abuse.train(texts, labels, swap=s, groups=[g.lower() for g in GROUPS]) for s in (3.0, 0.0))
     gap = lambda m: m.score("The Orlun tenants paid.") - m.score("The Pesh tenants paid.")
-    gap_w = lambda m: m.weights.get("orlun", 0) - m.weights.get("pesh", 0)
+    gap_w = lambda m: m.weight("orlun") - m.weight("pesh")
     assert abs(gap_w(even)) < abs(gap_w(odd)) and abs(gap(even)) <= abs(gap(odd)) + 1e-9
 
 
@@ -92,3 +94,28 @@ def test_threats_of_common_words_are_found():
         labels.append(int(i % 8 == 0))
     model = abuse.train(texts[:450], labels[:450])
     assert [model.score(t) > model.threshold for t in texts[450:]] == [bool(y) for y in labels[450:]]
+
+
+def test_passages_are_cut_alike_in_any_batch():
+    texts = ["One two three. Four's five\n\nsix seven 8 nine-ten", "", "x", "  ...  ", "a b " * 50, "né Straße; l’eau c'est", "a\x00b"]
+    parts = ["One two three", "Four's five", "six seven", "nine-ten", "x", ("a b " * 50).strip(), "né Straße", "l’eau c'est", "a b"]
+    w = passages.words(texts)
+    assert w.passages() == parts and w.doc.tolist() == [0, 0, 0, 0, 2, 4, 5, 5, 6]
+    alone = [passages.words([t]) for t in texts]
+    for name in ("word", "pair", "gram"):
+        assert np.concatenate([getattr(a, name) for a in alone]).tolist() == getattr(w, name).tolist()
+    assert len(set(w.word.tolist())) == len({x for p in parts for x in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", p.replace("’", "'"))})
+    same = passages.words(["the rats", "rats the", "these rats"])
+    assert len(set(same.pair.tolist())) == 3 and set(passages.words(["rats"]).gram.tolist()) < set(same.gram.tolist())
+
+
+def test_a_long_text_scores_as_its_worst_piece():
+    rng = random.Random(2)
+    texts, truth = corpus(rng, 600)
+    model = abuse.train(texts, truth)
+    sound = [t for t, y in zip(texts, truth, strict=True) if not y]
+    bad = next(t for t, y in zip(texts, truth, strict=True) if y and model.score(t) > model.threshold)
+    long = " ".join(sound[i % len(sound)] for i in range(3000))
+    scores = model.scores([long, long + " " + bad + " " + long, "word " * 100_000, bad, None])
+    assert len(long) > passages.PIECE and scores[1] == max(scores[0], scores[3]) and scores[2] == scores[4] == model.bias
+    assert scores.tolist() == [model.score(t) for t in (long, long + " " + bad + " " + long, "word " * 100_000, bad, None)]
