@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -107,10 +108,12 @@ def in_spheroid(p: P3, a: Sequence[float], b: Sequence[float], total: float) ->
     return distance3(p, list(a)) + distance3(p, list(b)) <= F.lit(total)
 
 
-def corridor_radius(direct: float, reach: float, over: int) -> float:
-    """Half width of the spheroid of all points on a way of at most ceil(direct / reach) + over steps of that reach."""
-    a = (math.ceil(direct / reach) + over) * reach / 2
-    return math.sqrt(max(a * a - direct * direct / 4, 0.0))
+def half_width(apart: C | float, way: C | float) -> Column:
+    """How far from the line between two foci a point can lie whose distances to them add up to way; 0 if way is too short.
+
+    The farthest one lies above the middle: half the way is the hypotenuse, half of what the foci are apart one side.
+    """
+    return F.sqrt(F.greatest((_c(way) - _c(apart)) * (_c(way) + _c(apart)), F.lit(0.0))) / 2
 
 
 def great_circle(lat1: C, lon1: C, lat2: C, lon2: C, radius: C | float) -> Column:
@@ -182,6 +185,7 @@ def boxel_letters(number: C) -> Column:
     return F.concat(letter(n), letter(F.floor(n / 26)), F.lit("-"), letter(F.floor(n / 676)))
 
 
+# Fixed value: how systematic names are written.
 NAME = r"^(.+) ([A-Z][A-Z]-[A-Z]) ([a-h])(?:(\d+)-)?(\d+)$"
 
 
@@ -205,3 +209,25 @@ def without_prefix(x: C, prefix: C) -> Column:
     """x without a leading prefix and a blank; '' if it is the prefix; x itself if it doesn't begin so."""
     a, p = _c(x), _c(prefix)
     return F.when(a == p, F.lit("")).when(F.startswith(a, F.concat(p, F.lit(" "))), F.substring(a, F.length(p) + 2, F.length(a))).otherwise(a)
+
+
+# --- SQL texts -----------------------------------------------------------------------------------------------------
+
+
+def fill_template(text: str, fragments: dict[str, str], names: dict[str, str] | None = None) -> str:
+    """text with each {{NAME}} replaced by its fragment (which may hold others) and each ${name} by an identifier.
+
+    Unknown names and fragments that hold themselves are errors; identifiers must be plain words.
+    """
+
+    def fragment(m: re.Match, held: tuple[str, ...]) -> str:
+        if m[1] in held or m[1] not in fragments:
+            raise ValueError(f"unknown or repeated fragment {m[1]}")
+        return re.sub(r"\{\{(\w+)\}\}", lambda k: fragment(k, (*held, m[1])), fragments[m[1]])
+
+    def name(m: re.Match) -> str:
+        if not re.fullmatch(r"[A-Za-z_]\w*", (names or {}).get(m[1], "")):
+            raise ValueError(f"no plain name for {m[1]}")
+        return names[m[1]]
+
+    return re.sub(r"\$\{(\w+)\}", name, re.sub(r"\{\{(\w+)\}\}", lambda m: fragment(m, ()), text))

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import corridor_radius, distance3, in_spheroid
+from ..functions.expr import distance3, in_spheroid
 from ..storage import Scratch
-from .joins import grid_pairs
-from .skew import salted_join
+from .joins import cube_of, grid_pairs
+from .skew import hottest, salted_join
 
 
 def _both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -55,13 +55,14 @@ def reach(starts: DataFrame, edges: DataFrame, *, node: str, a: str, b: str, hop
 
 
 def fewest_hops(stars: DataFrame, start: Sequence[float], goal: Sequence[float], jump: float, *, name: str = "name", xyz: Sequence[str] = ("x", "y", "z"), over: int = 4, first_jump: float | None = None) -> list[dict]:
-    """A route from start to goal of the fewest jumps of at most that length, over the stars; [] if there is none.
+    """A route from start to goal of the fewest jumps of at most that length, over the stars; [] if none has that few.
 
     Breadth first by level: a level joins the stars not yet reached with the front by cubes of space. No route of n
     jumps leaves the spheroid of width n jumps around the two ends, so stars outside of it are left out, and those from
     which the goal is out of reach with the jumps that are left are not followed. n begins at the straight distance
     and is widened by up to ``over``. Of several ways to a star the nearest predecessor (then the lesser name) is kept;
-    the last star is the one closest to the goal. Repeated names count once. The result is as long as the route.
+    the last star is the one closest to the goal. Repeated names count once. The result is as long as the route; an empty
+    one says that no route takes at most ``over`` jumps more than the straight line.
     """
     spark = stars.sparkSession
     scratch = Scratch(spark, "route")
@@ -69,8 +70,8 @@ def fewest_hops(stars: DataFrame, start: Sequence[float], goal: Sequence[float],
     direct = sum((g - s) ** 2 for s, g in zip(start, goal, strict=True)) ** 0.5
     floor = max(1, -(-int(direct * 1e6) // int(jump * 1e6)))
     total = (floor + over) * jump
-    assert corridor_radius(direct, jump, over) >= 0
     near = scratch.write(stars.select(name, *cols).where(in_spheroid(cols, start, goal, total)).groupBy(name).agg(*[F.min(c).alias(c) for c in cols]), "near")
+    crowded = hottest(near.groupBy(*cube_of(cols, jump)).agg(F.count(F.lit(1)).alias("n")), ["__i", "__j", "__k"], "n")
     step = lambda df: df.select(F.col(name).alias("__from"), *[F.col(c).alias(f"__{c}") for c in cols])
     levels: list[DataFrame] = []
     front = spark.createDataFrame([("", *map(float, start))], f"{name} string, " + ", ".join(f"{c} double" for c in cols))
@@ -78,7 +79,7 @@ def fewest_hops(stars: DataFrame, start: Sequence[float], goal: Sequence[float],
     for n in range(1, floor + over + 1):
         reachable = (first_jump or jump) if n == 1 else jump
         if n > 1 or direct > reachable:
-            pairs = grid_pairs(left, step(front), reachable, left_xyz=cols, right_xyz=[f"__{c}" for c in cols])
+            pairs = grid_pairs(left, step(front), reachable, left_xyz=cols, right_xyz=[f"__{c}" for c in cols], hot=crowded if reachable == jump else None)
             new = pairs.groupBy(name, *cols).agg(F.min(F.struct("distance", "__from")).alias("by")).select(name, *cols, F.col("by.__from").alias("via"))
             new = scratch.write(new.where(distance3(cols, list(goal)) <= (floor + over - n) * jump), f"level{n}")
         else:

@@ -22,10 +22,11 @@ from ..storage import Scratch, numbered
 MOST_LISTED = 10_000
 
 
-def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+def in_order(df: DataFrame, order: list[Column | str], *, nulls_last: bool = False) -> DataFrame:
     """df in range partitions of about equal size, sorted in each; equal rows may be spread over several of them."""
+    by = [F.col(c).asc_nulls_last() if nulls_last and isinstance(c, str) else c for c in order]
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("short")
-    return df.withColumn("__spread", spread).repartitionByRange(*order, "__spread").drop("__spread").sortWithinPartitions(*order)
+    return df.withColumn("__spread", spread).repartitionByRange(*by, "__spread").drop("__spread").sortWithinPartitions(*by)
 
 
 def chunked_distinct(df: DataFrame, keys: list[str], item: str, *, chunk_rows: int = 1 << 17, name: str = "n") -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import agg, expr, windows
 from ..operators import joins
+from ..operators.skew import in_order
+from ..storage import Scratch, numbered
 from .registry import Book
 from .tables import table
 
@@ -82,9 +86,11 @@ def packed_list_parameter(spark: S, folder: str) -> DataFrame:
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 def anti_join(spark: S, folder: str) -> DataFrame:
-    return table(spark, folder, "customer", "c_custkey").join(table(spark, folder, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Customers without an urgent order."""
+    urgent = table(spark, folder, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
+    return table(spark, folder, "customer", "c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R')")
@@ -99,11 +105,14 @@ def not_in_subquery(spark: S, folder: str) -> DataFrame:
     return table(spark, folder, "spansh_galaxy_body", "record_id", "body_id").join(known, F.col("body_id") == F.col("primary_star_body_id").cast("long"), "left_anti").select("record_id")
 
 
-@query("SELECT count(*) AS n FROM system_exobio WHERE best_species NOT IN (SELECT best_species FROM system_exobio WHERE candidate_bodies > 8)")
+@query("""SELECT DISTINCT system_id, best_species FROM system_exobio WHERE best_species NOT IN (SELECT best_species FROM system_exobio WHERE candidate_bodies > 8 AND best_species IS NOT NULL)
+          UNION ALL SELECT -1, best_species FROM system_exobio WHERE best_species NOT IN (SELECT best_species FROM system_exobio WHERE candidate_bodies > 8)""")
 def not_in_null_aware(spark: S, folder: str) -> DataFrame:
-    """NOT IN with its nulls: one null in the list leaves nothing, a null on the left is never outside of a list."""
-    table(spark, folder, "system_exobio", "best_species", "candidate_bodies").createOrReplaceTempView("__exobio")
-    return spark.sql("SELECT count(*) AS n FROM __exobio WHERE best_species NOT IN (SELECT best_species FROM __exobio WHERE candidate_bodies > 8)")
+    """NOT IN with its nulls: a null on the left is never outside of a list, and one null in the list leaves nothing."""
+    e = table(spark, folder, "system_exobio", "system_id", "best_species", "candidate_bodies")
+    many = e.where("candidate_bodies > 8").select(F.col("best_species").alias("other"))
+    out = joins.not_in(e.select("system_id", "best_species").distinct(), "best_species", many.where("other IS NOT NULL"), "other")
+    return out.unionByName(joins.not_in(e.select(F.lit(-1).cast("long").alias("system_id"), "best_species"), "best_species", many, "other"))
 
 
 @query("""SELECT a.sector_id, a.cube_id, a.mass_code, a.sub_cube_id, count(*) AS pairs FROM (SELECT DISTINCT sector_id, cube_id, mass_code, sub_cube_id FROM system_known WHERE run_id = 1) a
@@ -121,11 +130,14 @@ def null_safe_join(spark: S, folder: str) -> DataFrame:
     return a.join(b, on).select(*keys, "pairs")
 
 
-@query("SELECT DISTINCT a.system, k.entry_id FROM (SELECT DISTINCT system FROM carrier_position WHERE system IS NOT NULL) a JOIN system_catalog k ON k.system = a.system OR k.designation = a.system OR k.type || ' ' || k.designation = a.system")
+@query("""SELECT DISTINCT k.entry_id, a.name FROM system_catalog k JOIN (SELECT system_a AS name FROM system_catalog_alias UNION SELECT system_b FROM system_catalog_alias) a
+          ON a.name = k.system OR a.name = k.type || ' ' || k.designation OR a.name = k.designation""")
 def or_join(spark: S, folder: str) -> DataFrame:
-    names = table(spark, folder, "carrier_position", "system").where("system IS NOT NULL").distinct()
-    k = table(spark, folder, "system_catalog", "entry_id", "system", "type", "designation").select("entry_id", F.explode(F.array("system", "designation", F.concat_ws(" ", "type", "designation"))).alias("system"))
-    return k.distinct().join(names, "system").select("system", "entry_id").distinct()
+    """Entries with each name of the aliases that one of three writings equals."""
+    names = table(spark, folder, "system_catalog_alias", "system_a", "system_b").select(F.explode(F.array("system_a", "system_b")).alias("name")).distinct()
+    k = table(spark, folder, "system_catalog", "entry_id", "system", "type", "designation")
+    writings = [(F.col("system"), "name"), (F.concat("type", F.lit(" "), "designation"), "name"), (F.col("designation"), "name")]
+    return joins.any_of_keys(k, names, writings, row=["entry_id", "name"]).select("entry_id", "name")
 
 
 @query("SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderpriority = '1-URGENT' AND l_returnflag = 'R'")
@@ -144,12 +156,19 @@ def computed_key_join(spark: S, folder: str) -> DataFrame:
     return p.join(F.broadcast(labels), "band").select("p_partkey", "label")
 
 
-@query("SELECT t.type, p.p_partkey FROM part p JOIN (SELECT DISTINCT string_split(p_type, ' ')[1] AS type FROM part) t ON starts_with(p.p_type, t.type || ' ')")
+@query("SELECT DISTINCT b.record_id, b.name, s.system FROM spansh_galaxy_body b JOIN (SELECT DISTINCT system FROM system_exobio) s ON b.name = s.system OR starts_with(b.name, s.system || ' ')")
 def prefix_join(spark: S, folder: str) -> DataFrame:
-    """Names that begin with one of a few prefixes: the prefixes go to every task."""
-    p = table(spark, folder, "part", "p_partkey", "p_type")
-    t = p.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("type")).distinct()
-    return p.join(F.broadcast(t), F.startswith("p_type", F.concat("type", F.lit(" ")))).select("type", "p_partkey")
+    """Bodies whose names begin with the name of a known system."""
+    b = table(spark, folder, "spansh_galaxy_body", "record_id", "name").distinct()
+    return joins.by_word_prefix(b, "name", table(spark, folder, "system_exobio", "system").distinct(), "system")
+
+
+@query("SELECT p_partkey, t.kind FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS kind FROM part) t ON t.kind <> '' AND ends_with(p_name, ' ' || t.kind)")
+def suffix_join(spark: S, folder: str) -> DataFrame:
+    """Parts whose names end with one of the kinds, a whole word."""
+    p = table(spark, folder, "part", "p_partkey", "p_name")
+    kinds = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("kind")).where("kind <> ''").distinct()
+    return joins.by_word_prefix(p, "p_name", kinds, "kind", suffix=True).where("p_name <> kind").select("p_partkey", "kind")
 
 
 @query("""WITH runs AS (SELECT o_custkey % 50 AS z, CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS BIGINT) * 40 AS x_start, CAST(o_orderkey % 60 AS BIGINT) AS len, o_orderkey FROM orders),
@@ -251,8 +270,19 @@ def ordered_list_slice(spark: S, folder: str) -> DataFrame:
 
 @query("SELECT l_shipdate_year AS y, median(l_quantity) AS mid, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM (SELECT year(l_shipdate) AS l_shipdate_year, l_quantity, l_extendedprice FROM lineitem) GROUP BY 1")
 def medians(spark: S, folder: str) -> DataFrame:
-    l = table(spark, folder, "lineitem", "l_shipdate", "l_quantity", "l_extendedprice")  # noqa: E741
-    return l.groupBy(F.year("l_shipdate").cast("long").alias("y")).agg(F.median("l_quantity").alias("mid"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"))
+    """Exact percentiles by positions in the global order: no task holds the values of a year."""
+    l = table(spark, folder, "lineitem", "l_shipdate", "l_quantity", "l_extendedprice").select(F.year("l_shipdate").cast("long").alias("y"), "l_quantity", "l_extendedprice")  # noqa: E741
+    mid = windows.percentiles(l, ["y"], "l_quantity", {"mid": 0.5})
+    return mid.join(windows.percentiles(l, ["y"], "l_extendedprice", {"p90": 0.9}), "y").select("y", "mid", F.round("p90", 4).alias("p90"))
+
+
+@query("""SELECT DISTINCT o_orderpriority, o_orderstatus, count(*) OVER (PARTITION BY o_orderpriority) AS n, median(o_totalprice) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_orderpriority) AS mid_f FROM orders""")
+def window_median(spark: S, folder: str) -> DataFrame:
+    """A filtered median of the partition beside each row's group; the medians are worked out once and joined."""
+    o = table(spark, folder, "orders", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    mids = windows.percentiles(o.where("o_orderstatus = 'F'"), ["o_orderpriority"], "o_totalprice", {"mid_f": 0.5})
+    groups = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("k"))
+    return groups.join(mids, "o_orderpriority", "left").select("o_orderpriority", "o_orderstatus", F.sum("k").over(W.partitionBy("o_orderpriority")).alias("n"), "mid_f")
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (o_orderstatus = 'F') * 1e0 / count(*) > 0.5")
@@ -337,9 +367,9 @@ def lead_lag(spark: S, folder: str) -> DataFrame:
 
 @query("""SELECT decile, count(*) AS n, round(sum(total), 2) AS total FROM (SELECT total, ntile(10) OVER (ORDER BY total DESC, l_suppkey) AS decile FROM (SELECT l_suppkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1)) GROUP BY 1""")
 def deciles(spark: S, folder: str) -> DataFrame:
-    """Deciles of suppliers by revenue; the one window without a partition runs over one row per supplier."""
+    """Deciles of suppliers by revenue, cut by exact positions in their order."""
     t = table(spark, folder, "lineitem", "l_suppkey", "l_extendedprice").groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("total"))
-    d = t.withColumn("decile", F.ntile(10).over(W.orderBy(F.desc("total"), "l_suppkey")).cast("long"))
+    d = windows.tiles(t, 10, [F.desc("total"), F.asc("l_suppkey")], "decile")
     return d.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
@@ -350,6 +380,82 @@ def allocate_ids(spark: S, folder: str) -> DataFrame:
     return windows.allocate(s, s.select("id"), "id", ["brand"])
 
 
+@query("SELECT o_custkey, any_value(n_name) AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def any_value_of(spark: S, folder: str) -> DataFrame:
+    """A value that is the same on all rows of a group; dimensions are joined to the groups, not to the rows."""
+    o = table(spark, folder, "orders", "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, folder, "customer", "c_custkey", "c_nationkey").join(F.broadcast(table(spark, folder, "nation", "n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_custkey").agg(F.any_value("n_name").alias("nation"), F.first("n").alias("n"))
+
+
+@query("""SELECT coalesce(CAST(y AS VARCHAR), '*') AS y, o_orderpriority, count(*) AS n FROM (SELECT year(o_orderdate) AS y, o_orderpriority FROM orders) GROUP BY GROUPING SETS ((y, o_orderpriority), (o_orderpriority))""")
+def two_grouping_sets(spark: S, folder: str) -> DataFrame:
+    """Counts per pair of keys and per the second key alone."""
+    o = table(spark, folder, "orders", "o_orderdate", "o_orderpriority").select(F.year("o_orderdate").cast("string").alias("y"), "o_orderpriority")
+    return agg.wildcard_rollup(o, ["o_orderpriority"], "y", F.count(F.lit(1)).alias("n")).select("y", "o_orderpriority", "n")
+
+
+@query("SELECT o_orderkey, CASE 'o_orderstatus' WHEN 'o_orderpriority' THEN o_orderpriority WHEN 'o_orderstatus' THEN o_orderstatus END AS picked FROM orders")
+def picked_column(spark: S, folder: str, column: str = "o_orderstatus") -> DataFrame:
+    """A column that is named by a parameter: only that column reaches the scan."""
+    if column not in ("o_orderpriority", "o_orderstatus"):
+        raise ValueError(column)
+    return table(spark, folder, "orders", "o_orderkey", column).withColumnRenamed(column, "picked")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_quantity > 10 GROUP BY 1")
+def template_fragments(spark: S, folder: str) -> DataFrame:
+    """SQL put together from named fragments; values go in as parameters, never as text."""
+    table(spark, folder, "lineitem").createOrReplaceTempView("__lines")
+    text = expr.fill_template("SELECT l_returnflag, {{MEASURES}} FROM __lines WHERE {{RECENT}} AND l_quantity > :least GROUP BY 1", {"MEASURES": "count(*) AS n, round(sum(${measure}), 2) AS total", "RECENT": "l_shipdate >= :since"}, {"measure": "l_quantity"})
+    return spark.sql(text, {"least": 10, "since": datetime.datetime(1995, 1, 1)})
+
+
+@query("SELECT c.*, n.n_name, n.n_regionkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def star_of_two_tables(spark: S, folder: str) -> DataFrame:
+    c, n = table(spark, folder, "customer"), table(spark, folder, "nation", "n_nationkey", "n_name", "n_regionkey")
+    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")  # 25 rows
+
+
+@query("SELECT record_id FROM spansh_galaxy_body WHERE (type, sub_type) IS DISTINCT FROM ('Planet', 'Icy body') AND (volcanism_type, atmosphere_type) IS NOT DISTINCT FROM (NULL, NULL)")
+def tuple_distinct(spark: S, folder: str) -> DataFrame:
+    """Tuples compared as wholes, with nulls that are equal to each other."""
+    b = table(spark, folder, "spansh_galaxy_body", "record_id", "type", "sub_type", "volcanism_type", "atmosphere_type")
+    same = lambda a, b: F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(a)]).eqNullSafe(F.struct(*[F.lit(v).cast("string").alias(f"c{i}") for i, v in enumerate(b)]))
+    return b.where(~same(["type", "sub_type"], ["Planet", "Icy body"]) & same(["volcanism_type", "atmosphere_type"], [None, None])).select("record_id")
+
+
+@query("SELECT o_custkey, row_number() OVER (ORDER BY total DESC, o_custkey) AS place FROM (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1)")
+def display_rank(spark: S, folder: str) -> DataFrame:
+    """Places in one order over everything, numbered where the rows lie."""
+    t = table(spark, folder, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    placed = numbered(in_order(t, [F.desc("total"), F.asc("o_custkey")]), Scratch(spark, "rank"), "ordered", "no")
+    return placed.select("o_custkey", (F.col("no") + 1).alias("place"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '5-LOW')
+          SELECT k, 'first' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'second' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
+def symmetric_difference(spark: S, folder: str) -> DataFrame:
+    """Keys that only one of two sets has, with the set, from one aggregate."""
+    o = table(spark, folder, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority IN ('1-URGENT', '5-LOW')")
+    held = o.groupBy(F.col("o_custkey").alias("k")).agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("a"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("b"))
+    return held.where("a <> b").select("k", F.when(F.col("a"), "first").otherwise("second").alias("side"))
+
+
+@query("SELECT poi_class, list_append(list_distinct(list(poi_family ORDER BY poi_family) FILTER (poi_family IS NOT NULL)), 'end')[-1] AS last, len(list_distinct(list(poi_family))) AS families FROM poi GROUP BY 1")
+def list_append_to(spark: S, folder: str) -> DataFrame:
+    p = table(spark, folder, "poi", "poi_class", "poi_family").groupBy("poi_class").agg(F.collect_set("poi_family").alias("f"))
+    return p.select("poi_class", F.element_at(F.array_append("f", F.lit("end")), -1).alias("last"), F.size("f").cast("long").alias("families"))
+
+
+@query("SELECT o_orderpriority, map_keys(m) AS kinds, map_values(m) AS counts, m['F'] AS finished FROM (SELECT o_orderpriority, map(list(o_orderstatus ORDER BY o_orderstatus), list(n ORDER BY o_orderstatus)) AS m FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1)")
+def map_of_counts(spark: S, folder: str) -> DataFrame:
+    """Counts by kind as a map, its keys in order, and a value looked up in it."""
+    n = table(spark, folder, "orders", "o_orderpriority", "o_orderstatus").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    m = n.groupBy("o_orderpriority").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n")))).alias("m"))
+    return m.select("o_orderpriority", F.map_keys("m").alias("kinds"), F.map_values("m").alias("counts"), F.try_element_at("m", F.lit("F")).alias("finished"))
+
+
 # --- sort, limit, top-k --------------------------------------------------------------------------------------------
 @query("SELECT record_id, volcanism_type, surface_temp_k FROM spansh_galaxy_body ORDER BY volcanism_type IS NULL, volcanism_type DESC NULLS LAST, surface_temp_k ASC NULLS LAST, record_id LIMIT 50")
 def sorted_limit(spark: S, folder: str) -> DataFrame:
@@ -364,12 +470,19 @@ def order_by_rank(spark: S, folder: str) -> DataFrame:
     return o.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority")
 
 
-@query("""SELECT 'stated' AS origin, systems FROM (SELECT 0 AS pri, systems FROM sector_known WHERE sector_id = 0 AND run_id = 0 AND systems IS NOT NULL UNION ALL SELECT 1, (SELECT count(DISTINCT system_id) FROM system_known WHERE sector_id = 0 AND run_id = 0)) ORDER BY pri LIMIT 1""")
+@query("""WITH k AS (SELECT DISTINCT sector_id, run_id FROM system_known UNION SELECT sector_id, run_id FROM sector_known),
+          s AS (SELECT sector_id, run_id, 0 AS pri, 'stated' AS origin, max(systems) AS systems FROM sector_known WHERE systems IS NOT NULL GROUP BY ALL
+                UNION ALL SELECT sector_id, run_id, 1, 'counted', count(DISTINCT system_id) FROM system_known GROUP BY ALL)
+          SELECT k.sector_id, k.run_id, origin, systems FROM k LEFT JOIN s USING (sector_id, run_id) QUALIFY row_number() OVER (PARTITION BY k.sector_id, k.run_id ORDER BY pri) = 1""")
 def first_source_that_has_it(spark: S, folder: str) -> DataFrame:
-    at = "sector_id = 0 AND run_id = 0"
-    stated = table(spark, folder, "sector_known").where(f"{at} AND systems IS NOT NULL").select(F.lit(0).alias("pri"), "systems")
-    counted = table(spark, folder, "system_known", "sector_id", "run_id", "system_id").where(at).agg(F.count_distinct("system_id").alias("systems")).select(F.lit(1).alias("pri"), "systems")
-    return stated.unionByName(counted).orderBy("pri").limit(1).select(F.lit("stated").alias("origin"), "systems")
+    """The number of systems as it is stated, else as it is counted, with where it comes from."""
+    key = ["sector_id", "run_id"]
+    said = table(spark, folder, "sector_known", *key, "systems")
+    stated = said.where("systems IS NOT NULL").groupBy(*key).agg(F.max("systems").alias("stated"))
+    counted = table(spark, folder, "system_known", *key, "system_id").groupBy(*key).agg(F.count_distinct("system_id").alias("counted"))
+    both = said.select(*key).distinct().join(stated, key, "left").join(counted, key, "full")
+    origin = F.when(F.col("stated").isNotNull(), "stated").when(F.col("counted").isNotNull(), "counted")
+    return both.select(*key, origin.alias("origin"), F.coalesce("stated", "counted").alias("systems"))
 
 
 # --- set operations ------------------------------------------------------------------------------------------------

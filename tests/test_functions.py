@@ -33,7 +33,8 @@ def test_space(spark):
     assert one(spark, t, x=5.0) == 0.5 and one(spark, off, x=5.0) == 1.0
     assert one(spark, expr.in_spheroid(["x", 0.0, 0.0], (0.0, 0.0, 0.0), (10.0, 0.0, 0.0), 10.0), x=4.0) and not one(spark, expr.in_spheroid(["x", 0.1, 0.0], (0.0, 0.0, 0.0), (10.0, 0.0, 0.0), 10.0), x=4.0)
     assert one(spark, expr.great_circle("a", 0.0, 0.0, 0.0, 1.0), a=90.0) == pytest.approx(math.pi / 2)
-    assert expr.corridor_radius(100.0, 50.0, 0) == 0 and expr.corridor_radius(100.0, 50.0, 2) == pytest.approx(math.sqrt(100**2 - 50**2))
+    wide = spark.range(1).select(expr.half_width(100.0, 100.0), expr.half_width(100.0, 200.0), expr.half_width(100.0, 90.0)).first()
+    assert wide[0] == 0 == wide[2] and wide[1] == pytest.approx(math.sqrt(100**2 - 50**2))
     x, y, z = expr.galactic_xyz("p", 90.0, 0.0)
     assert one(spark, x, p=3261.56) == pytest.approx(-1.0) and one(spark, z, p=3261.56) == pytest.approx(0.0, abs=1e-12) and one(spark, y, p=3261.56) == 0
 
