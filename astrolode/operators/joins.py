@@ -133,7 +133,7 @@ def with_fallback(df: DataFrame, cells: DataFrame, keys: list[str], wild: str, v
 VOTE_BLOCK = 1 << 15
 
 
-def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int = 5, first: float = 40.0, block: int = VOTE_BLOCK) -> DataFrame:
+def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int = 5, first: float | None = None, block: int = VOTE_BLOCK) -> DataFrame:
     """ident and the label that most of the k nearest known points have (the lowest of equal ones), however far they are.
 
     Known points at equal distances count in the order of their label. Where there are fewer than k known points, all of
@@ -145,10 +145,11 @@ def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list
     return votes.groupBy(ident).agg(F.min(F.struct((-F.col("__n")).alias("n"), "label")).alias("m")).select(F.col(ident).cast(unknown.schema[ident].dataType), F.col("m.label").cast(known.schema[label].dataType).alias(label))
 
 
-def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], k: int, first: float, block: int) -> DataFrame:
+def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], k: int, first: float | None, block: int) -> DataFrame:
     """ident and label of the k nearest known points (of all, if there are fewer) of each asked row.
 
-    Known points are looked for in a ring that doubles from ``first``. A row with k of them within the ring is settled,
+    Known points are looked for in a ring that doubles from ``first``, by default half the edge of a cube that would hold
+    k of them if they were spread evenly. A row with k of them within the ring is settled,
     for all others are farther away; only the rest goes on to the next ring, so a wide ring is met by rows of sparse
     regions alone. The asked rows go to the 27 cubes around them. Of one cube a row keeps its k nearest points only, so
     that a dense heap gives no more rows than an empty region; cubes with many points or rows are cut into blocks.
@@ -161,12 +162,20 @@ def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str]
     settled: list[DataFrame] = []
     enough = min(k, known.count())
     ring = first
+    if not ring and enough:
+        low, high = known.agg(F.array(*[F.min(c) for c in near_xyz]), F.array(*[F.max(c) for c in near_xyz])).first()
+        room = 1.0
+        for a, b in zip(low, high, strict=True):
+            room *= max(b - a, 1e-3)
+        ring = max((room * k / known.count()) ** (1 / 3) / 2, 1e-6)
     while enough and left.limit(1).count():
         cube = lambda c: F.floor(F.col(c) / F.lit(ring))  # noqa: B023, E731
         a = left
         for axis, c in zip(axes, xyz, strict=True):
             a = a.withColumn(axis, F.explode(F.sequence(cube(c) - 1, cube(c) + 1)))
         b = known.withColumns({axis: cube(c) for axis, c in zip(axes, near_xyz, strict=True)})
+        both = b.select(*axes).distinct().join(a.select(*axes).distinct(), axes)  # no group has only one side
+        a, b = (salted_join(x, both, axes, "left_semi") for x in (a, b))
         crowded = lambda df, name: df.groupBy(*axes).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)).where(F.col(name) > 1)
         cuts = scratch.write(crowded(b, "ko").join(crowded(a, "kq"), axes, "full"), "cuts")  # one row for each ``block`` points or rows
         one, blocks = F.lit(1), ["__o", "__q"]

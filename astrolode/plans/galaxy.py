@@ -169,10 +169,10 @@ def phenomena(spark: S, folder: str) -> DataFrame:
 
 
 # --- gaps, boxels, predictions -------------------------------------------------------------------------------------
-@query("""WITH b AS (SELECT DISTINCT sector_id, cube_id, mass_code, coalesce(sub_cube_id, -1) AS sub, boxel_index AS i FROM system_known WHERE cube_id IS NOT NULL AND boxel_index IS NOT NULL),
-          g AS (SELECT sector_id, cube_id, mass_code, sub, min(i) AS mn, max(i) AS mx, count(*) AS n FROM b GROUP BY ALL HAVING max(i) > min(i) AND count(*) * 1e0 / (max(i) - min(i) + 1) >= 0.5)
-          SELECT g.sector_id, g.cube_id, g.mass_code, g.sub, CAST(u.i AS INTEGER) AS missing FROM g, unnest(range(mn, mx + 1)) u(i)
-          WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.sector_id = g.sector_id AND b.cube_id = g.cube_id AND b.mass_code = g.mass_code AND b.sub = g.sub AND b.i = u.i)""")
+@query("""WITH known AS (SELECT DISTINCT sector_id, cube_id, mass_code, coalesce(sub_cube_id, -1) AS sub, boxel_index FROM system_known WHERE cube_id IS NOT NULL AND boxel_index IS NOT NULL),
+          beside AS (SELECT *, lead(boxel_index) OVER one AS following, count(*) OVER whole AS held, max(boxel_index) OVER whole - min(boxel_index) OVER whole AS steps FROM known
+                     WINDOW one AS (PARTITION BY sector_id, cube_id, mass_code, sub ORDER BY boxel_index), whole AS (PARTITION BY sector_id, cube_id, mass_code, sub))
+          SELECT sector_id, cube_id, mass_code, sub, unnest(range(boxel_index + 1, following))::INTEGER AS missing FROM beside WHERE 2 * held > steps""")
 def boxel_gaps(spark: S, folder: str) -> DataFrame:
     """Numbers that are missing between those known, in boxels of which half is known."""
     keys = ["sector_id", "cube_id", "mass_code", "sub"]
@@ -181,6 +181,14 @@ def boxel_gaps(spark: S, folder: str) -> DataFrame:
     return found.select(*keys, F.explode(F.sequence("first", "last")).alias("missing"))
 
 
+@query("""WITH known AS (SELECT DISTINCT system_id64, body_id FROM spansh_galaxy_body), span AS (SELECT system_id64, min(body_id) AS low, max(body_id) AS high, count(*) AS held FROM known GROUP BY 1)
+          SELECT system_id64, missing FROM span, unnest(range(low, high + 1)) u(missing) WHERE held * 3 >= high - low + 1 EXCEPT SELECT system_id64, body_id FROM known""")
+def body_gaps(spark: S, folder: str) -> DataFrame:
+    """Bodies that are missing between those known, in systems of which a third is known."""
+    found = runs.gaps(table(spark, folder, "spansh_galaxy_body", "system_id64", "body_id").distinct(), ["system_id64"], "body_id", least_filled=1 / 3)
+    return found.select("system_id64", F.explode(F.sequence("first", "last")).alias("missing"))
+
+
 @query(f"""WITH {_LIVE}, k AS (SELECT DISTINCT system_id, sector_id, cube_id, mass_code FROM live), s AS (SELECT DISTINCT system_id64 FROM spansh_galaxy_body)
            SELECT mass_code, count(*) AS systems, count(s.system_id64) AS scanned, round((count(s.system_id64) + 1) / (count(*) + 2e0), 6) AS rate FROM k LEFT JOIN s ON s.system_id64 = k.system_id GROUP BY mass_code""")
 def scanned_share(spark: S, folder: str) -> DataFrame:
@@ -200,9 +208,10 @@ def biology_odds(spark: S, folder: str) -> DataFrame:
     return rolled.select("sub_type", F.col("band").cast("int").alias("band"), "n", "k", F.round(expr.laplace("k", "n"), 6).alias("p"))
 
 
-@query("""WITH d AS (SELECT best_species, count(*) AS n, sum(count(*)) OVER (PARTITION BY split_part(best_species, ' ', 1)) AS total FROM (SELECT DISTINCT system_id, best_species FROM system_exobio WHERE best_species IS NOT NULL) GROUP BY 1),
-          r AS (SELECT *, split_part(best_species, ' ', 1) AS genus, row_number() OVER (PARTITION BY split_part(best_species, ' ', 1) ORDER BY n DESC, best_species) AS r FROM d WHERE n * 20 >= total)
-          SELECT genus, string_agg(best_species || ' ' || CAST(CAST(floor(n * 100 / total) AS INTEGER) AS VARCHAR) || '%', ', ' ORDER BY r) AS likely FROM r WHERE r <= 3 GROUP BY genus""")
+@query("""WITH seen AS (SELECT best_species AS name, count(DISTINCT system_id) AS n FROM system_exobio WHERE best_species IS NOT NULL GROUP BY 1),
+          held AS (SELECT regexp_extract(name, '^[^ ]*') AS genus, sum(n) AS all_of, list({'down': -n, 'name': name} ORDER BY -n, name) AS kinds FROM seen GROUP BY 1),
+          frequent AS (SELECT genus, all_of, list_filter(kinds, lambda k: -k.down * 20 >= all_of)[:3] AS kinds FROM held)
+          SELECT genus, array_to_string(list_transform(kinds, lambda k: format('{} {}%', k.name, -k.down * 100 // all_of)), ', ') AS likely FROM frequent WHERE len(kinds) > 0""")
 def likely_species(spark: S, folder: str) -> DataFrame:
     """The three most frequent species of a genus with a share of 5 % or more, as a text."""
     s = table(spark, folder, "system_exobio", "system_id", "best_species").where("best_species IS NOT NULL").distinct()
@@ -271,18 +280,10 @@ def nearest_region_centre(spark: S, folder: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT system_id, min(x) AS x, min(y) AS y, min(z) AS z, min(region_id) AS region_id FROM system_known WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY 1),
-          n AS (SELECT a.system_id, b.region_id, row_number() OVER (PARTITION BY a.system_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), b.region_id) AS r
-                FROM k a JOIN k b ON a.region_id IS NULL AND b.region_id IS NOT NULL AND abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40 AND abs(a.z - b.z) <= 40 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 40),
-          v AS (SELECT system_id, region_id, count(*) AS n FROM n WHERE r <= 5 GROUP BY ALL)
-          SELECT system_id, region_id FROM v QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY n DESC, region_id) = 1""")
+          n AS (SELECT a.system_id, b.region_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM k a, k b WHERE a.region_id IS NULL AND b.region_id IS NOT NULL),
+          v AS (SELECT system_id, h.region_id, count(*) AS n FROM (SELECT system_id, unnest(min({'d': d, 'region_id': region_id}, 5)) AS h FROM n GROUP BY 1) GROUP BY ALL)
+          SELECT system_id, min({'n': -n, 'region_id': region_id}).region_id AS region_id FROM v GROUP BY 1""")
 def neighbour_votes(spark: S, folder: str) -> DataFrame:
-    """The part of neighbour_votes_all() that SQL can check: only labelled systems within 40 ly vote, systems without any are absent."""
-    k = table(spark, folder, "system_known", "system_id", *XYZ, "region_id").na.drop(subset=XYZ).groupBy("system_id").agg(*[F.min(c).alias(c) for c in XYZ], F.min("region_id").alias("region_id"))
-    return joins.nearest_votes(k.where("region_id IS NULL"), k.where("region_id IS NOT NULL"), ident="system_id", xyz=XYZ, label="region_id", radius=40.0)
-
-
-@query()
-def neighbour_votes_all(spark: S, folder: str) -> DataFrame:
     """Regions of all located unlabelled systems by the majority of the five nearest labelled ones, however far."""
     k = table(spark, folder, "system_known", "system_id", *XYZ, "region_id").na.drop(subset=XYZ).groupBy("system_id").agg(*[F.min(c).alias(c) for c in XYZ], F.min("region_id").alias("region_id"))
     return joins.nearest_votes(k.where("region_id IS NULL"), k.where("region_id IS NOT NULL"), ident="system_id", xyz=XYZ, label="region_id")
@@ -327,15 +328,6 @@ def status_bundle(spark: S, folder: str) -> DataFrame:
     return e.select("system_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("known", "reported", "has_alias", "catalogued")])
 
 
-@query("""WITH RECURSIVE e AS (SELECT system_a AS a, system_b AS b FROM system_catalog_alias WHERE system_a <> system_b), w AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)),
-          r(name, hops) AS (SELECT DISTINCT system, 0 FROM (SELECT DISTINCT system FROM system_exobio) UNION SELECT w.b, r.hops + 1 FROM r JOIN w ON w.a = r.name WHERE r.hops < 3)
-          SELECT name, min(hops) AS hops FROM r WHERE name IS NOT NULL GROUP BY name""")
-def alias_reach(spark: S, folder: str) -> DataFrame:
-    """The first three links of alias_reach_all()."""
-    pairs = table(spark, folder, "system_catalog_alias", "system_a", "system_b")
-    return graphs.reach(table(spark, folder, "system_exobio", "system").withColumnRenamed("system", "name"), pairs, node="name", a="system_a", b="system_b", hops=3)
-
-
 #: Links that places are followed over, and passes in which ids spread over aliases, at most.
 PLACE_HOPS, ALIAS_PASSES = 8, 12
 
@@ -343,37 +335,22 @@ PLACE_HOPS, ALIAS_PASSES = 8, 12
 @query(f"""WITH RECURSIVE e AS (SELECT system_a AS a, system_b AS b FROM system_catalog_alias WHERE system_a <> system_b), w AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)),
           r(name, hops) AS (SELECT DISTINCT system, 0 FROM system_exobio UNION SELECT w.b, r.hops + 1 FROM r JOIN w ON w.a = r.name WHERE r.hops < {PLACE_HOPS})
           SELECT name, min(hops) AS hops FROM r WHERE name IS NOT NULL GROUP BY name""")
-def alias_reach_all(spark: S, folder: str) -> DataFrame:
+def alias_reach(spark: S, folder: str) -> DataFrame:
     """Names within eight links of a known system's name."""
     pairs = table(spark, folder, "system_catalog_alias", "system_a", "system_b")
     return graphs.reach(table(spark, folder, "system_exobio", "system").withColumnRenamed("system", "name"), pairs, node="name", a="system_a", b="system_b", hops=PLACE_HOPS)
 
 
-@query("""WITH RECURSIVE u AS (SELECT system AS name, min(system_id) AS id FROM system_exobio GROUP BY 1 HAVING count(DISTINCT system_id) = 1),
-          e AS (SELECT DISTINCT a, b FROM (SELECT system_a AS a, system_b AS b FROM system_catalog_alias UNION ALL SELECT system_b, system_a FROM system_catalog_alias) WHERE a <> b),
-          n AS (SELECT DISTINCT a AS name FROM e), l0 AS (SELECT name, u.id FROM n LEFT JOIN u USING (name)),
-          t1 AS (SELECT e.b AS name, min(l.id) AS lo, max(l.id) AS hi FROM e JOIN l0 l ON l.name = e.a WHERE l.id IS NOT NULL GROUP BY 1), l1 AS (SELECT l0.name, coalesce(l0.id, CASE WHEN lo = hi THEN lo END) AS id FROM l0 LEFT JOIN t1 USING (name)),
-          t2 AS (SELECT e.b AS name, min(l.id) AS lo, max(l.id) AS hi FROM e JOIN l1 l ON l.name = e.a WHERE l.id IS NOT NULL GROUP BY 1)
-          SELECT l1.name, coalesce(l1.id, CASE WHEN lo = hi THEN lo END) AS id FROM l1 LEFT JOIN t2 USING (name)""")
-def agreed_labels(spark: S, folder: str) -> DataFrame:
-    """The first two passes of agreed_labels_all()."""
-    return _agreed(spark, folder, 2)
-
-
 @query("""WITH u AS (SELECT system AS name, min(system_id) AS id FROM system_exobio GROUP BY 1 HAVING count(DISTINCT system_id) = 1),
           e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT system_a AS a, system_b AS b FROM system_catalog_alias UNION ALL SELECT system_b, system_a FROM system_catalog_alias) WHERE a <> b),
           l0 AS MATERIALIZED (SELECT name, u.id FROM (SELECT DISTINCT a AS name FROM e) n LEFT JOIN u USING (name)), """ + ", ".join(f"""
           l{n} AS MATERIALIZED (SELECT l.name, coalesce(l.id, CASE WHEN lo = hi THEN lo END) AS id FROM l{n - 1} l LEFT JOIN (SELECT e.b AS name, min(k.id) AS lo, max(k.id) AS hi FROM e JOIN l{n - 1} k ON k.name = e.a WHERE k.id IS NOT NULL GROUP BY 1) t USING (name))""" for n in range(1, ALIAS_PASSES + 1)) + f" SELECT name, id FROM l{ALIAS_PASSES}")
-def agreed_labels_all(spark: S, folder: str) -> DataFrame:
+def agreed_labels(spark: S, folder: str) -> DataFrame:
     """Ids that spread over aliases where all neighbours agree, until nothing changes, in twelve passes at most."""
-    return _agreed(spark, folder, ALIAS_PASSES)
-
-
-def _agreed(spark: S, folder: str, passes: int) -> DataFrame:
     pairs = table(spark, folder, "system_catalog_alias", "system_a", "system_b")
     named = table(spark, folder, "system_exobio", "system", "system_id").groupBy(F.col("system").alias("name")).agg(F.min("system_id").alias("id"), F.max("system_id").alias("hi")).where("id = hi").drop("hi")
     nodes = pairs.where("system_a <> system_b").select(F.explode(F.array("system_a", "system_b")).alias("name")).distinct().join(named, "name", "left")
-    return graphs.spread_labels(nodes, pairs, node="name", label="id", a="system_a", b="system_b", passes=passes)
+    return graphs.spread_labels(nodes, pairs, node="name", label="id", a="system_a", b="system_b", passes=ALIAS_PASSES)
 
 
 # --- merges --------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import agg, expr, windows
-from ..operators import graphs, runs
+from ..operators import graphs, joins, runs
 from .galaxy import SHIP, XYZ, live_systems
 from .registry import Book
 from .tables import table
@@ -52,16 +52,9 @@ def lift_by_decile(spark: S, folder: str) -> DataFrame:
 
     Tenths are cut by exact positions in the order of the score, found from counts per partition, not by one task.
     """
-    from ..operators.skew import in_order
-    from ..storage import Scratch, numbered
-
     s = table(spark, folder, "system_exobio", "system_id", "cr_expected", "worked_bodies").groupBy("system_id").agg(F.max("cr_expected").alias("score"), F.bool_or(F.col("worked_bodies") > 0).alias("hit"))
-    ranked = numbered(in_order(s.withColumn("down", -F.col("score")), ["down", "system_id"]), Scratch(spark, "lift"), "ranked", "at")
-    n = ranked._astrolode_rows
-    size, longer = divmod(n, 10)  # the first tenths are one longer, as ntile does it
-    edge = longer * (size + 1)
-    decile = F.when(F.col("at") < edge, F.floor(F.col("at") / (size + 1))).otherwise(longer + F.floor((F.col("at") - edge) / max(size, 1))) + 1
-    g = ranked.groupBy(decile.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("found"))
+    ranked = windows.tiles(s, 10, [F.desc("score"), F.asc("system_id")], "decile")
+    g = ranked.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("found"))
     base = F.sum("found").over(W.partitionBy()) / F.sum("n").over(W.partitionBy())
     return g.select("decile", "n", "found", F.round(F.col("found") / F.col("n") / base, 6).alias("lift"))
 
@@ -192,7 +185,7 @@ def nearest_per_kind(spark: S, folder: str) -> DataFrame:
     return n.select("service", F.col("m.callsign").alias("callsign"), F.round("m.d", 3).alias("ly"))
 
 
-@query(f"""SELECT z_row, x_start, length, r.value FROM (SELECT CAST(floor((z + 24105) * 83 / 4096) AS INTEGER) AS z_row, min(CAST(floor((x + 49985) * 83 / 4096) AS INTEGER)) AS x_start,
+@query(f"""SELECT z_row, greatest(x_start, 600) AS x_start, least(x_start + length, 1000) - greatest(x_start, 600) AS length, r.value FROM (SELECT CAST(floor((z + 24105) * 83 / 4096) AS INTEGER) AS z_row, min(CAST(floor((x + 49985) * 83 / 4096) AS INTEGER)) AS x_start,
            max(CAST(floor((x + 49985) * 83 / 4096) AS INTEGER)) - min(CAST(floor((x + 49985) * 83 / 4096) AS INTEGER)) + 1 AS length, min(region_id) AS value FROM system_known WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY 1) r
            WHERE x_start < 1000 AND x_start + length > 600 ORDER BY z_row""")
 def runs_overlapping(spark: S, folder: str) -> DataFrame:
@@ -200,7 +193,7 @@ def runs_overlapping(spark: S, folder: str) -> DataFrame:
     cell = lambda c, o: F.floor((F.col(c) + F.lit(o)) * 83 / 4096).cast("int")
     k = table(spark, folder, "system_known", "x", "z", "region_id").na.drop(subset=["x", "z"])
     r = k.groupBy(cell("z", 24105.0).alias("z_row")).agg(F.min(cell("x", 49985.0)).alias("x_start"), (F.max(cell("x", 49985.0)) - F.min(cell("x", 49985.0)) + 1).alias("length"), F.min("region_id").alias("value"))
-    return r.where("x_start < 1000 AND x_start + length > 600")
+    return joins.runs_in_window(r, start="x_start", length="length", low=600, high=1000)
 
 
 @query("""WITH l AS (SELECT * FROM system_known WHERE removed_at IS NULL QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY run_id DESC, first_seen DESC, poi_id NULLS LAST, body_count NULLS LAST) = 1)
@@ -210,13 +203,14 @@ def region_rollup(spark: S, folder: str) -> DataFrame:
     return l.withColumn("of_region", F.round(windows.share("n", "region_id"), 6))
 
 
+# Temperatures at which a rung counts, the depth of the ladder (5/9 * 1300 K, to the power 1.2), and labels.
 _MARKS = [114.0, 210.0, 270.0, 370.0, 700.0, 900.0, 1400.0]
 
 
-@query("""WITH b AS (SELECT record_id, surface_temp_k AS t, surface_temp_k + 5e0 / 9 * 1300 * pow(surface_temp_k / 1300, 1.2) AS top FROM spansh_galaxy_body WHERE surface_temp_k > 0),
-          r AS (SELECT record_id, list_transform(range(7), lambda k: CAST(CAST(CAST(t AS FLOAT) AS DOUBLE) + k * ((top - CAST(CAST(t AS FLOAT) AS DOUBLE)) / 7e0) AS FLOAT)) AS rungs FROM b)
-          SELECT record_id, CASE WHEN list_has_any(rungs, m) THEN 'ON' WHEN list_has_any(rungs, flatten(list_transform(m, lambda c: [nextafter(c, 0::FLOAT), nextafter(c, 'inf'::FLOAT)]))) THEN 'ONE_OFF' ELSE 'OFF' END AS landing
-          FROM r, (SELECT [114.0, 210.0, 270.0, 370.0, 700.0, 900.0, 1400.0]::FLOAT[] AS m)""")
+@query("""WITH marks AS (SELECT unnest([114, 210, 270, 370, 700, 900, 1400])::FLOAT AS mark), body AS (SELECT record_id, row_number() OVER () AS row, CAST(surface_temp_k AS FLOAT)::DOUBLE AS low, surface_temp_k + 5e0 / 9 * 1300 * pow(surface_temp_k / 1300, 1.2) AS high FROM spansh_galaxy_body WHERE surface_temp_k > 0),
+          rung AS (SELECT row, CAST(low + i * ((high - low) / 7e0) AS FLOAT) AS step FROM body, range(7) s(i)),
+          met AS (SELECT row, max(CASE WHEN step = mark THEN 3 WHEN nextafter(step, mark) = mark THEN 2 ELSE 1 END) AS best FROM rung, marks GROUP BY 1)
+          SELECT record_id, ['OFF', 'ONE_OFF', 'ON'][best] AS landing FROM body JOIN met USING (row)""")
 def ladder_landings(spark: S, folder: str) -> DataFrame:
     """Single-precision ladders over temperatures, and whether a rung meets a mark to the last bit."""
     from ..functions import floats

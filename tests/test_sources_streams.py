@@ -112,3 +112,39 @@ def test_sessions_on_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("k int, at timestamp").parquet(str(tmp_path / "in"))
     got = run(spark, journal.sessions(stream, "k", "at"), "append", str(tmp_path / "ck"), "sess")
     assert sorted((r.k, r.events) for r in got.collect()) == [(1, 1), (1, 2)]
+
+
+def test_a_replayed_event_counts_once(spark, tmp_path):
+    src = tmp_path / "j"
+    src.mkdir()
+    # the last event of the first file comes again in the second, and a Log and an Analyse stand in one second
+    (src / "1.log").write_text("\n".join([line(1, "FSDJump", SystemAddress=7), line(2, "Scan", SystemAddress=7, BodyID=1)]) + "\n")
+    (src / "2.log").write_text("\n".join([line(1, "FSDJump", SystemAddress=7), line(2, "Scan", SystemAddress=7, BodyID=1), line(2, "Scan", SystemAddress=7, BodyID=2), line(3, "ScanOrganic", SystemAddress=7, BodyID=1, ScanType="Log", Species="s"), line(3, "ScanOrganic", SystemAddress=7, BodyID=1, ScanType="Analyse", Species="s")]) + "\n")
+    os.utime(src / "1.log", (1_700_000_000, 1_700_000_000))
+    kinds = ["FSDJump", "Scan", "ScanOrganic"]
+    typed = journal.events(journal.lines(spark, str(src)), kinds).withColumn("commander", F.lit("c"))
+    out = run(spark, journal.folded(typed), "update", str(tmp_path / "ck"), "replayed").orderBy("last_event").collect()
+    assert [(r.bodies, r.sampled, r.events) for r in out] == [(1, 0, 1), (2, 1, 4)]
+
+
+def test_upserts_rewrite_what_they_touch_and_keep_few_versions(spark, tmp_path):
+    path, t = str(tmp_path / "seen"), dt.datetime(2024, 1, 1)
+    rows_of = lambda names: spark.createDataFrame([(n, "G", None, t) for n in names], "system string, star_class string, system_id long, at timestamp")
+    first, second = (journal.upsert_into(path, journal.seen_merge, journal.SEEN, query=q) for q in ("a", "b"))
+    for i in range(6):
+        first(rows_of([f"s{i}", "Sol"]), i)
+    second(rows_of(["new"]), 0)  # a stream with a new checkpoint begins at 0 and is not skipped
+    second(rows_of(["lost?"]), 0)  # its replay is
+    assert sorted(r.system for r in journal.current(spark, path, journal.SEEN).collect()) == ["Sol", "new", *[f"s{i}" for i in range(6)]]
+    assert len(os.listdir(f"{path}/versions")) <= 4 and len(os.listdir(f"{path}/data")) <= 9  # with the files of checksums
+
+
+def test_catch_up_then_tail(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/1.log").write_text("a\nb\n")
+    got = []
+    for more in (None, "c\n"):
+        if more:
+            (tmp_path / "j/2.log").write_text(more)
+        journal.catch_up(journal.lines(spark, str(tmp_path / "j")), lambda b, n: got.extend(r.value for r in b.collect()), str(tmp_path / "ck"))
+    assert sorted(got) == ["a", "b", "c"]

@@ -36,13 +36,13 @@ def test_votes_of_the_nearest_however_far(spark, held):
     assert rows(got) == sorted([(p[0], voted(p, known)) for p in asked] if held else [], key=repr)
 
 
-def test_neighbour_votes_all(spark, tmp_path):
+def test_neighbour_votes(spark, tmp_path):
     rng = random.Random(4)
     systems = [(i, *[rng.uniform(-9000, 9000) for _ in range(3)], i % 5 if i % 3 else None) for i in range(300)]
     pq.write_table(pa.table(dict(zip(["system_id", *XYZ, "region_id"], map(list, zip(*systems, strict=True)), strict=True))), tmp_path / "system_known.parquet")
     known = [s for s in systems if s[4] is not None]
     want = [(s[0], voted(s, known)) for s in systems if s[4] is None]
-    assert rows(catalogue.queries()["neighbour_votes_all"](spark, str(tmp_path))) == sorted(want, key=repr)
+    assert rows(catalogue.queries()["neighbour_votes"](spark, str(tmp_path))) == sorted(want, key=repr)
 
 
 def linked(tmp_path, n=30):
@@ -59,23 +59,23 @@ def linked(tmp_path, n=30):
     return near, placed
 
 
-def test_agreed_labels_all(spark, tmp_path):
+def test_agreed_labels(spark, tmp_path):
     near, placed = linked(tmp_path)
     held = {k: placed.get(k, [None])[0] for k in near}
     for _ in range(12):
         told = {k: {held[x] for x in near[k]} - {None} for k in near}
         held = {k: v if v is not None or len(told[k]) != 1 else min(told[k]) for k, v in held.items()}
     assert held["a12"] == 1 and held["a13"] is None
-    assert rows(catalogue.queries()["agreed_labels_all"](spark, str(tmp_path))) == sorted(held.items(), key=repr)
+    assert rows(catalogue.queries()["agreed_labels"](spark, str(tmp_path))) == sorted(held.items(), key=repr)
 
 
-def test_alias_reach_all(spark, tmp_path):
+def test_alias_reach(spark, tmp_path):
     near, placed = linked(tmp_path)
     hops = dict.fromkeys(placed, 0)
     for n in range(1, 9):
         hops |= {x: n for k in [k for k, h in hops.items() if h == n - 1] for x in near[k] if x not in hops}
     assert hops["a08"] == 8 and "a09" not in hops
-    assert rows(catalogue.queries()["alias_reach_all"](spark, str(tmp_path))) == sorted(hops.items(), key=repr)
+    assert rows(catalogue.queries()["alias_reach"](spark, str(tmp_path))) == sorted(hops.items(), key=repr)
 
 
 def test_feed_changed_in_its_middle(tmp_path):
