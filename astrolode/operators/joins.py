@@ -133,26 +133,29 @@ def with_fallback(df: DataFrame, cells: DataFrame, keys: list[str], wild: str, v
 VOTE_BLOCK = 1 << 15
 
 
-def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int = 5, first: float | None = None, block: int = VOTE_BLOCK) -> DataFrame:
+def nearest_votes(unknown: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], label: str, k: int = 5, radius: float | None = None, first: float | None = None, block: int = VOTE_BLOCK) -> DataFrame:
     """ident and the label that most of the k nearest known points have (the lowest of equal ones), however far they are.
 
+    With a radius only points within it vote, and rows without any are absent.
+
     Known points at equal distances count in the order of their label. Where there are fewer than k known points, all of
     them vote. Rows and points without a finite place are left out. ident and label are numbers.
     """
     b = known.select(F.col(label).cast("long").alias("__label"), *[F.col(c).alias(f"__{c}") for c in xyz]).where("__label IS NOT NULL")
-    near = _k_nearest(unknown.select(F.col(ident).cast("long").alias(ident), *xyz), b, ident=ident, xyz=xyz, k=k, first=first, block=block)
+    near = _k_nearest(unknown.select(F.col(ident).cast("long").alias(ident), *xyz), b, ident=ident, xyz=xyz, k=k, first=radius or first, block=block, once=radius is not None)
     votes = near.groupBy(ident, "label").agg(F.count(F.lit(1)).alias("__n"))
     return votes.groupBy(ident).agg(F.min(F.struct((-F.col("__n")).alias("n"), "label")).alias("m")).select(F.col(ident).cast(unknown.schema[ident].dataType), F.col("m.label").cast(known.schema[label].dataType).alias(label))
 
 
-def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], k: int, first: float | None, block: int) -> DataFrame:
+def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str], k: int, first: float | None, block: int, once: bool = False) -> DataFrame:
     """ident and label of the k nearest known points (of all, if there are fewer) of each asked row.
 
     Known points are looked for in a ring that doubles from ``first``, by default half the edge of a cube that would hold
     k of them if they were spread evenly. A row with k of them within the ring is settled,
     for all others are farther away; only the rest goes on to the next ring, so a wide ring is met by rows of sparse
     regions alone. The asked rows go to the 27 cubes around them. Of one cube a row keeps its k nearest points only, so
-    that a dense heap gives no more rows than an empty region; cubes with many points or rows are cut into blocks.
+    that a dense heap gives no more rows than an empty region; cubes with many points or rows are cut into blocks. once:
+    nothing beyond the first ring is looked for.
     """
     scratch = Scratch(asked.sparkSession, "nearest")
     finite = lambda cols: reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in cols])
@@ -187,6 +190,8 @@ def _k_nearest(asked: DataFrame, known: DataFrame, *, ident: str, xyz: list[str]
         found = a.groupBy(*axes, *blocks).cogroup(b.groupBy(*axes, *blocks)).applyInArrow(_nearest_of(ident, xyz, enough, ring), f"`{ident}` long, label long, distance double")
         ranked = found.select(ident, "label", F.row_number().over(W.partitionBy(ident).orderBy("distance", "label")).alias("__r")).where(F.col("__r") <= enough)
         near = scratch.write(ranked, "near")
+        if once:
+            return near
         full = near.where(F.col("__r") == enough).select(ident)
         settled.append(near.join(full, ident, "left_semi"))
         left = scratch.write(left.join(full, ident, "left_anti"), "left")

@@ -6,9 +6,14 @@ of each row; a second merge of the same source changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+
 #: How a column takes a new value: overwrite; keep what is held and fill nulls; newest value that is not null; never change.
 OVERWRITE, FILL, NEWEST, KEEP = "overwrite", "fill", "newest", "keep"
 
@@ -131,3 +136,34 @@ def checksums(df: DataFrame) -> DataFrame:
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of only one side, with the side: 'a' or 'b'. Repeats count."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionAll(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def newer_only(target: DataFrame, source: DataFrame, keys: Sequence[str], at: str, *, back: str = "0 seconds") -> DataFrame:
+    """Rows of source later than the newest row of target (less an overlap), whose keys target doesn't hold yet.
+
+    The newest time is one row, which bounds what is read of source; an empty target bounds nothing.
+    """
+    newest = target.agg(F.max(at).alias("__newest"))
+    late = source.crossJoin(F.broadcast(newest)).where(F.col("__newest").isNull() | (F.col(at) > F.col("__newest") - F.expr(f"INTERVAL {back}"))).drop("__newest")
+    return late.join(target.select(*keys), list(keys), "left_anti")
+
+
+def in_buckets(step: Callable[..., DataFrame], tables: Sequence[DataFrame], key: str, n: int, scratch: Scratch) -> DataFrame:
+    """step(*tables) worked out for one bucket of the key after another, each written before the next begins.
+
+    For steps whose rows depend on rows of the same key only: the result is that of the whole, with a part of the memory
+    and disk at a time. Rows with a null key are a bucket of their own. The hash spreads keys whose low bits say
+    something, as the mass code in an address does. n is chosen by the size of the tables; it never changes the result.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n))
+    parts = []
+    for i in range(n + 1):
+        mine = (lambda df: df.where(F.col(key).isNull())) if i == n else (lambda df, i=i: df.where(F.col(key).isNotNull() & (bucket == i)))
+        parts.append(scratch.write(step(*[mine(t) for t in tables]), f"bucket{i}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def returning(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """target with the rows whose keys it lacks, and those rows: an INSERT that returns what it inserted."""
+    new = rows.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti").select(*target.columns)
+    return target.unionByName(new), new

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import biology, galaxy, model, near, orphans, relational, skewed, state, stream
+from . import biology, derive, galaxy, model, near, orphans, reads, relational, skewed, state, stream
 
-MODULES = [relational, galaxy, model, state, stream, biology, near, orphans, skewed]
+MODULES = [relational, galaxy, derive, reads, model, state, stream, biology, near, orphans, skewed]
 
 
 def queries() -> dict:

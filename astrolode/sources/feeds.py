@@ -1,4 +1,7 @@
-"""Readers of feeds. Schemas are given, never inferred; what can't be read is null or dropped, never an error."""
+"""Readers of feeds. What can't be read is null or dropped, never an error.
+
+Schemas are given; json_inferred() and csv_inferred() find them, over all of the data unless a share is asked for.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,17 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
+def json_inferred(spark: SparkSession, path: str | list[str], *, share: float = 1.0) -> DataFrame:
+    """JSON lines whose schema is found in a first pass over that share of the lines; fields that differ become texts."""
+    return spark.read.option("samplingRatio", share).option("mode", "DROPMALFORMED").json(path)
+
+
+def csv_inferred(spark: SparkSession, path: str | list[str], *, separator: str = ",", share: float = 1.0) -> DataFrame:
+    """A CSV with a header whose types are found in a first pass over that share of the rows."""
+    reader = spark.read.option("header", "true").option("sep", separator).option("inferSchema", "true").option("samplingRatio", share)
+    return reader.csv(path)
+
+
 def json_document(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     """A file that is one array of objects (or one object), read as a whole; for large ones use json_array_lines()."""
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
@@ -74,3 +88,29 @@ def reconcile(df: DataFrame, key: str, stated: int) -> dict[str, int]:
     """What was read against what the source says it has: rows, distinct keys, stated and missing."""
     rows, keys = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
     return {"rows": rows, "keys": keys, "stated": stated, "missing": max(0, stated - keys)}
+
+
+def resumed(spark: SparkSession, path: str, schema: str, folder: str, *, rows: int) -> int:
+    """Load the next ``rows`` lines of a dump of one object per line into a table, after those loaded before; the number loaded.
+
+    Lines are numbered by their place in the file; how many were loaded is read back from the names of the parts in
+    ``folder``, each of which appears as a whole. A call after a failure goes on where the last whole part ended; 0 says
+    that all is loaded.
+    """
+    parts = f"{folder}/parts"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = [s.getPath() for s in fs.listStatus(jpath(parts))] if fs.exists(jpath(parts)) else []
+    whole = [p.getName() for p in held if fs.exists(jpath(p, "_SUCCESS"))]
+    skip = max((int(n.split("-")[2]) for n in whole), default=0)
+    for p in held:
+        if p.getName() not in whole:
+            fs.delete(p, True)
+    lines = spark.read.text(path).select("value", F.col("_metadata.row_index").alias("__no")).where((F.col("__no") >= skip) & (F.col("__no") < skip + rows))
+    n = lines.count()
+    if not n:
+        return 0
+    line = F.regexp_replace(F.trim("value"), r"^\[|[,\]\s]+$", "")
+    parsed = lines.where(line.startswith("{")).select(F.from_json(line, schema).alias("r")).where("r IS NOT NULL").select("r.*")
+    parsed.write.parquet(f"{parts}/rows-{skip:012d}-{skip + n:012d}")
+    return n

@@ -104,3 +104,49 @@ def test_routes(spark):
     path = graphs.greedy_path(df, (0.0, 0.0, 0.0), (81.0, 0.0, 0.0), 20.0)
     assert [p["name"] for p in path] == ["s02", "s04", "s06", "s08", "s09"]
     assert graphs.greedy_path(df, (0.0, 0.0, 0.0), (90.0, 0.0, 0.0), 5.0) == []
+
+
+def test_not_in_buckets_newer_and_returning(spark, tmp_path):
+    from astrolode.storage import Scratch
+
+    a = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    others = spark.createDataFrame([(1,), (None,)], "o int")
+    assert rows(joins.not_in(a, "k", others, "o")) == [] and rows(joins.not_in(a, "k", others.limit(0), "o")) == rows(a) and rows(joins.not_in(a, "k", others.where("o = 1"), "o")) == [(2,)]
+    df = spark.createDataFrame([(i % 5 if i else None, i) for i in range(40)], "k long, v long")
+    step = lambda d: d.groupBy("k").agg(F.sum("v").alias("s"))
+    for n in (1, 3, 7):
+        assert rows(merging.in_buckets(step, [df], "k", n, Scratch(spark, "b"))) == rows(step(df))
+    held = spark.createDataFrame([(1, 10), (2, 20)], "id int, t int").withColumn("t", F.col("t").cast("timestamp"))
+    more = spark.createDataFrame([(1, 25), (3, 15), (4, 21), (4, 22)], "id int, t int").withColumn("t", F.col("t").cast("timestamp"))
+    assert rows(merging.newer_only(held, more, ["id"], "t").select("id")) == [(4,), (4,)] and rows(merging.newer_only(held, more, ["id"], "t", back="6 seconds").select("id")) == [(3,), (4,), (4,)]
+    assert merging.newer_only(held.limit(0), more, ["id"], "t").count() == 4
+    table, new = merging.returning(held, more, ["id"])
+    assert sorted(r.id for r in new.collect()) == [3, 4] and table.count() == 4
+
+
+def test_word_prefixes_and_exact_positions(spark):
+    from astrolode.functions import windows
+
+    t = spark.createDataFrame([("a b c",), ("a bc",), ("b",), ("",), (None,)], "t string")
+    p = spark.createDataFrame([("a",), ("a b",), ("c",), ("b c",), ("",)], "p string")
+    assert rows(joins.by_word_prefix(t, "t", p, "p")) == sorted([("", ""), ("a b c", "a"), ("a b c", "a b"), ("a bc", "a")], key=repr)
+    assert rows(joins.by_word_prefix(t, "t", p, "p", suffix=True)) == [("", ""), ("a b c", "b c"), ("a b c", "c")]
+    v = spark.createDataFrame([("x", float(i)) for i in (5, 1, 3, 2)] + [("x", None), ("y", 7.0), ("z", None)], "k string, v double")
+    assert rows(windows.percentiles(v, ["k"], "v", {"mid": 0.5, "low": 0.0, "q": 0.25})) == [("x", 2.5, 1.0, 1.75), ("y", 7.0, 7.0, 7.0)]
+    for size, n in ((7, 3), (2, 5), (9, 3)):
+        got = rows(windows.tiles(spark.range(size), n, [F.desc("id")], "tile"))
+        want = rows(spark.range(size).selectExpr("id", f"ntile({n}) OVER (ORDER BY id DESC)"))
+        assert got == want
+    assert windows.percentiles(v.limit(0), ["k"], "v", {"m": 0.5}).count() == 0 and windows.tiles(spark.range(0), 3, ["id"], "t").count() == 0
+
+
+def test_templates_and_bearings(spark):
+    from astrolode.functions import expr
+
+    assert expr.fill_template("{{A}} ${c}", {"A": "x {{B}}", "B": "y"}, {"c": "col"}) == "x y col"
+    for bad in (("{{A}}", {"A": "{{A}}"}, {}), ("{{Z}}", {}, {}), ("${c}", {}, {"c": "a; drop"})):
+        with pytest.raises(ValueError):
+            expr.fill_template(*bad)
+    steps = [(0, 1, "N"), (1, 1, "NE"), (1, 0, "E"), (0, -1, "S"), (-1, 0, "W"), (-1, 1, "NW"), (0, 0, None)]
+    df = spark.createDataFrame(steps, "x int, z int, said string")
+    assert df.where(~expr.compass("x", "z").eqNullSafe(F.col("said"))).count() == 0

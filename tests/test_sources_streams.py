@@ -148,3 +148,21 @@ def test_catch_up_then_tail(spark, tmp_path):
             (tmp_path / "j/2.log").write_text(more)
         journal.catch_up(journal.lines(spark, str(tmp_path / "j")), lambda b, n: got.extend(r.value for r in b.collect()), str(tmp_path / "ck"))
     assert sorted(got) == ["a", "b", "c"]
+
+
+def test_inferred_resumed_attached_copied(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "c": {"x": 1.5}}\n{"id": 2, "t": "s"}\n')
+    assert rows(feeds.json_inferred(spark, str(tmp_path / "a.json")).selectExpr("id", "c.x", "t")) == sorted([(1, 1.5, None), (2, None, "s")], key=repr)
+    (tmp_path / "b.csv").write_text("n,d,t\n1,2.5,x\n2,,y\n")
+    assert feeds.csv_inferred(spark, str(tmp_path / "b.csv")).dtypes == [("n", "int"), ("d", "double"), ("t", "string")]
+    (tmp_path / "dump.json").write_text("[\n" + "".join(f'{{"id": {i}}},\n' for i in range(10)) + "]\n")
+    loaded = []
+    while n := feeds.resumed(spark, str(tmp_path / "dump.json"), "id long", str(tmp_path / "out"), rows=5):
+        loaded.append(n)
+        os.makedirs(tmp_path / "out/parts/rows-broken-000000000099", exist_ok=True)  # as a part that failed leaves it
+    assert loaded == [5, 5, 2] and sorted(r.id for r in spark.read.parquet(str(tmp_path / "out/parts/*")).collect()) == list(range(10))
+    df = spark.range(100).select("id", (F.col("id") % 7).cast("string").alias("t")).unionByName(spark.createDataFrame([(None, "n")], "id long, t string"))
+    report = sinks.copy_in_batches(df, str(tmp_path / "copy"), "id", 4)
+    assert rows(report.select("column", "same")) == [("id", True), ("t", True)] and spark.read.parquet(str(tmp_path / "copy")).count() == 101
+    df.write.parquet(str(tmp_path / "tables/things.parquet"))
+    assert sinks.attach(spark, str(tmp_path / "tables"), "other") == ["other_things"] and spark.table("other_things").count() == 101
