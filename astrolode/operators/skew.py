@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, numbered
 
-#: Hot keys that are sent to every task; beyond these, hot keys are joined.
-MOST_LISTED = 10_000
+#: Hot keys that are sent to every task; beyond these, hot keys are joined. Parts for rows with null keys.
+MOST_LISTED, NULL_PARTS = 10_000, 64
 
 
 def in_order(df: DataFrame, order: list[Column | str], *, nulls_last: bool = False) -> DataFrame:
@@ -153,16 +154,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
 
     Rows of every key with over rows_per_task rows are spread over several tasks by a hash, and the rows of right with
     these keys are repeated for each; without such keys it is a plain join. ``how`` is inner, left, left_semi or
-    left_anti. condition may use columns of both sides whose names differ. Rows with null keys match nothing. hot: the
+    left_anti. condition may use columns of both sides whose names differ. Rows with null keys match nothing; where they
+    stay, they are spread as well. hot: the
     result of hottest(), where counts are at hand; else left is read once more, at once, to count its keys.
     """
     hot = hot_keys(left.na.drop(subset=on), on, rows_per_task=rows_per_task) if hot is None else hot
-    keys = on
+    keys, spread = on, F.xxhash64(*left.columns) if spread is None else spread
+    stays = how in ("left", "left_anti")  # rows with null keys stay; a join would send all of them to one task
+    alone = reduce(Column.__or__, [F.col(c).isNull() for c in on]) if stays else F.lit(False)
+    nulls = F.pmod("__spread", F.lit(NULL_PARTS))
     if hot.listed is not None:
-        spread = F.xxhash64(*left.columns) if spread is None else spread
-        left = _parted(left.withColumn("__spread", spread), on, hot).withColumn("__salt", F.coalesce(F.pmod("__spread", F.col("__parts").cast("long")), F.lit(0)).cast("int")).drop("__spread", "__parts")
+        salt = F.when(alone, nulls).otherwise(F.coalesce(F.pmod("__spread", F.col("__parts").cast("long")), F.lit(0)))
+        left = _parted(left.withColumn("__spread", spread), on, hot).withColumn("__salt", salt.cast("int")).drop("__spread", "__parts")
         right = _parted(right, on, hot).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
         keys = [*on, "__salt"]
+    elif stays:
+        left = left.withColumn("__spread", spread).withColumn("__salt", F.when(alone, nulls).otherwise(0).cast("int")).drop("__spread")
+        right = right.withColumn("__salt", F.lit(0))
+        keys = [*on, "__salt"]
     if condition is None:
         return left.join(right, keys, how).drop("__salt")
     right = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])

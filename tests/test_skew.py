@@ -71,3 +71,18 @@ def test_rows_are_not_moved_again_after_numbering(spark):
     plan = chunked_distinct(df, ["k"], "v", chunk_rows=50)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("hashpartitioning") < plan.index("MapInArrow")  # from the top: states are exchanged, rows are not
     assert "hashpartitioning" not in plan[plan.index("MapInArrow") :]
+
+
+def test_rows_with_null_keys_are_spread(spark):
+    a = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"), F.col("id").alias("a"))
+    b = spark.range(40).select(F.col("id").alias("k"), F.lit("x").alias("b")).unionAll(spark.createDataFrame([(None, "n")], "k long, b string"))
+    for how in ("left", "left_anti", "inner", "left_semi"):
+        assert rows(salted_join(a, b, ["k"], how)) == rows(a.join(b, ["k"], how))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [n for n in salted_join(a, b, ["k"], "left_anti").rdd.glom().map(len).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 2000 and len(sizes) > 1
