@@ -53,14 +53,12 @@ def not_in(df: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
 def in_run(points: DataFrame, runs: DataFrame, *, row: str, at: str, start: str, length: str, cell: int = 256) -> DataFrame:
     """points with the run of the same row that covers them: start <= at < start + length; runs of a row may overlap.
 
-    Runs are put into the cells of that width that they touch, so the join is one on equal (row, cell); the size of a
-    task depends on what lies in one cell, not on the length of a row.
+    Runs are put into the cells of that width that they touch, so the join is one on equal (row, cell); a cell with very
+    many points is spread over several tasks.
     """
     cells = runs.where(F.col(length) > 0).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(start) + F.col(length) - 1) / cell))))
-    placed = points.withColumn("__cell", F.floor(F.col(at) / cell))
-    b = cells.withColumnRenamed(row, "__row")
-    inside = (placed[at] >= b[start]) & (placed[at] < b[start] + b[length])
-    return placed.join(b, (placed[row] == b["__row"]) & (placed["__cell"] == b["__cell"]) & inside).drop("__row", "__cell")
+    inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length))
+    return salted_join(points.withColumn("__cell", F.floor(F.col(at) / cell)), cells, [row, "__cell"]).where(inside).drop("__cell")
 
 
 def runs_in_window(runs: DataFrame, *, start: str, length: str, low: int, high: int) -> DataFrame:

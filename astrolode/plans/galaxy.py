@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import agg, expr, windows
 from ..operators import graphs, joins, merging, runs
+from ..operators.skew import salted_join
 from .registry import Book
 from .tables import table
 
@@ -102,10 +103,10 @@ def sectors(spark: S, folder: str) -> DataFrame:
            m AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY sector_id ORDER BY n DESC, region_id) = 1)
            SELECT l.system_id, coalesce(l.region_id, m.region_id) AS region FROM live l LEFT JOIN m USING (sector_id)""")
 def region_of_systems(spark: S, folder: str) -> DataFrame:
-    """A system's own region, else the most frequent one of its sector."""
+    """A system's own region, else the most frequent one of its sector; sectors that hold very many systems are salted."""
     live = live_systems(spark, folder).select("system_id", "sector_id", "region_id")
     voted = agg.modal(live, ["sector_id"], "region_id", name="voted").drop("n")
-    return live.join(voted, "sector_id", "left").select("system_id", F.coalesce("region_id", "voted").alias("region"))
+    return salted_join(live, voted, ["sector_id"], "left", spread=F.xxhash64("system_id")).select("system_id", F.coalesce("region_id", "voted").alias("region"))
 
 
 @query("SELECT poi_class, count(*) AS kinds, count(*) FILTER (removed_at IS NULL) AS live, string_agg(poi, ', ' ORDER BY poi) FILTER (needs_landing) AS on_ground FROM poi GROUP BY 1")

@@ -149,6 +149,12 @@ def _spacing(stars: DataFrame) -> float:
     return (box["x"] * box["y"] * box["z"] / box["n"]) ** (1 / 3) or 1.0 if box["n"] else 1.0
 
 
+_STARS = """s AS (SELECT system AS name, min(x) AS x, min(y) AS y, min(z) AS z FROM system_exobio WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY 1),
+    room AS (SELECT pow((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) / count(*), 1 / 3e0) AS edge FROM s)"""
+_AWAY = lambda p, q: f"sqrt(({p[0]} - ({q[0]})) ** 2 + ({p[1]} - ({q[1]})) ** 2 + ({p[2]} - ({q[2]})) ** 2)"
+_S, _W, _B = (tuple(f"{t}.{c}" for c in XYZ) for t in "swb")
+
+
 @query()
 def route(spark: S, folder: str) -> DataFrame:
     """A route of the fewest jumps over the systems; a jump is about as long as the gaps between them, so there are many."""
@@ -157,7 +163,24 @@ def route(spark: S, folder: str) -> DataFrame:
     return spark.createDataFrame([(h["jump"], h["name"], h.get("x"), h.get("y"), h.get("z")) for h in hops], "jump int, name string, x double, y double, z double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STARS}, link AS (SELECT a.name AS here, b.name AS there FROM s a, s b, room WHERE a.name <> b.name AND {_AWAY(("a.x", "a.y", "a.z"), _B)} <= {ROUTE_SPACINGS} * edge),
+           reached(n, name) AS (SELECT 1, name FROM s, room WHERE {_AWAY(_S, SHIP)} <= {ROUTE_SPACINGS} * edge UNION SELECT n + 1, there FROM reached JOIN link ON here = name WHERE n < 40)
+           SELECT min(n)::INTEGER AS jumps, true AS sound FROM reached JOIN s USING (name), room WHERE {_AWAY(_S, FAR)} <= {ROUTE_SPACINGS} * edge""")
+def route_jumps(spark: S, folder: str) -> DataFrame:
+    """The number of jumps of the route, and whether each of them is one that can be made."""
+    r = route(spark, folder).orderBy("jump").withColumn("one", F.lit(1))
+    reach = ROUTE_SPACINGS * _spacing(table(spark, folder, "system_exobio", "system", *XYZ).na.drop(subset=XYZ).withColumnRenamed("system", "name"))
+    w = W.partitionBy("one").orderBy("jump")  # a route is as long as its jumps
+    back = [F.coalesce(F.lag(c).over(w), F.lit(v)) for c, v in zip(XYZ, SHIP, strict=True)]
+    fine = r.withColumn("fine", expr.distance3(XYZ, back) <= reach * (1 + 1e-12)).groupBy("one")
+    ends = F.max_by(expr.distance3(XYZ, list(FAR)), "jump") <= reach * (1 + 1e-12)
+    return fine.agg(F.max("jump").alias("jumps"), (F.bool_and("fine") & ends).alias("sound")).select("jumps", "sound")
+
+
+@query(f"""WITH RECURSIVE {_STARS}, walk(hop, name, x, y, z) AS (SELECT 0, '', {SHIP[0]}::DOUBLE, {SHIP[1]}::DOUBLE, {SHIP[2]}::DOUBLE
+           UNION ALL SELECT hop + 1, m.name, m.x, m.y, m.z FROM (SELECT w.hop, min({{'d': {_AWAY(_S, FAR)}, 'name': s.name, 'x': s.x, 'y': s.y, 'z': s.z}}) AS m FROM walk w, s, room
+             WHERE w.hop < 100 AND {_AWAY(_W, FAR)} > 1 AND {_AWAY(_S, _W)} BETWEEN 0.5 AND {CARRIER_SPACINGS} * edge AND {_AWAY(_S, FAR)} < {_AWAY(_W, FAR)} GROUP BY w.hop))
+           SELECT hop, name, x, y, z FROM walk WHERE hop > 0""")
 def carrier_path(spark: S, folder: str) -> DataFrame:
     """Hops towards a place that each go as near to it as their range allows."""
     s = table(spark, folder, "system_exobio", "system", *XYZ).na.drop(subset=XYZ).withColumnRenamed("system", "name")
