@@ -50,10 +50,12 @@ def linked_groups(pairs: DataFrame, a: str, b: str, *, core_edges: int = CORE_ED
     coded = salted_join(coded, names.select(F.col("name").alias("b"), F.col("code").alias("v")), ["b"]).selectExpr(*_ORDERED)
     edges = scratch.write(coded, "edges")
 
+    spent: list[DataFrame] = []  # tables that are not read any more once all have their roots
     pointers: list[DataFrame] = []  # child, parent; a vertex is a child at most once, and its parent none before
     turn = 0
     while True:
         near = scratch.write(_neighbours(edges), "near")
+        spent.append(near)
         n, ones, twos, ends_ = near.agg(F.count(F.lit(1)), F.count_if(F.col("degree") == 1), F.count_if(F.col("degree") == 2), F.sum("degree")).first()
         if not n:
             break
@@ -76,8 +78,9 @@ def linked_groups(pairs: DataFrame, a: str, b: str, *, core_edges: int = CORE_ED
             pointers.append(cut.select("child", (F.col("u") + F.col("v") - F.col("child")).alias("parent")))
             edges = scratch.write(edges.join(cut.select("u", "v"), ["u", "v"], "left_anti"), "edges")
         else:
-            pointer, bridges = _chains(near, scratch)
+            pointer, bridges, done = _chains(near, scratch)
             pointers.append(pointer)
+            spent.append(done)
             chain = near.where("degree = 2")
             cut = chain.select("vertex", F.explode(F.array("low", "high")).alias("other")).select(F.least("vertex", "other").alias("u"), F.greatest("vertex", "other").alias("v")).distinct()
             edges = scratch.write(edges.join(cut, ["u", "v"], "left_anti").unionByName(bridges).distinct(), "edges")
@@ -92,6 +95,8 @@ def linked_groups(pairs: DataFrame, a: str, b: str, *, core_edges: int = CORE_ED
             down = salted_join(pointer, above, ["parent"], "left").select(F.col("child").alias("code"), F.coalesce("root", "parent").alias("root"))
             rooted = rooted.unionByName(down)
         rooted = scratch.write(rooted, "rooted")
+        for table in [*spent, *pointers, edges]:
+            scratch.drop(table)
         least = rooted.groupBy("root").agg(F.min("code").alias("least"), F.count(F.lit(1)).alias("n")).select("root", F.least("root", "least").alias("least"), "n")
         least = scratch.write(least, "least")
         members = salted_join(rooted, least.drop("n"), ["root"], hot=hottest(least, ["root"], "n")).select("code", "least")
@@ -128,8 +133,8 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return arcs.groupBy("vertex").agg(F.count(F.lit(1)).alias("degree"), F.min("other").alias("low"), F.max("other").alias("high"))
 
 
-def _chains(near: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pointers of all vertices with two edges, and an edge between the ends of each chain.
+def _chains(near: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pointers of all vertices with two edges, an edge between the ends of each chain, and the table that both read.
 
     A walk is named by the vertex it starts at and the neighbour it comes from; it stands at ``at`` after ``rank``
     steps, having come from ``back``. Each turn a walk goes on by the walk that starts where it stands, so ranks double.
@@ -137,8 +142,9 @@ def _chains(near: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     chain = near.where("degree = 2")
     one = lambda came, to: F.struct(F.col("vertex").alias("start"), F.col(came).alias("came"), F.col(to).alias("at"), F.col("vertex").alias("back"), F.lit(1).cast("long").alias("rank"), F.least("vertex", to).alias("least"), F.lit(False).alias("ended"))
-    going = scratch.write(chain.select(F.inline(F.array(one("low", "high"), one("high", "low")))), "walks")
+    first = going = scratch.write(chain.select(F.inline(F.array(one("low", "high"), one("high", "low")))), "walks")
     ended: list[DataFrame] = []
+    spent = [first]
     before = None
     while True:
         all_walks = reduce(DataFrame.unionByName, ended, going)
@@ -148,6 +154,7 @@ def _chains(near: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             F.least("least", F.coalesce("least2", "least")).alias("least"), F.coalesce("ended2", F.lit(True)).alias("ended"),
         )
         new = scratch.write(new, "walks")
+        spent.append(new)
         state = tuple(new.where("NOT ended").agg(F.count(F.lit(1)), F.sum(F.col("least").cast("decimal(38,0)"))).first())
         ended.append(new.where("ended"))
         going = new.where("NOT ended")
@@ -157,8 +164,10 @@ def _chains(near: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     walks = reduce(DataFrame.unionByName, ended, going)
     done = walks.groupBy("start").agg(F.min("at").alias("u"), F.max("at").alias("v"), F.bool_and("ended").alias("ended"), F.min("least").alias("least"))
     done = scratch.write(done, "ended")
+    for table in spent:
+        scratch.drop(table)
     pointer = done.select(F.col("start").alias("child"), F.when(F.col("ended"), F.col("u")).otherwise(F.col("least")).alias("parent")).where("child <> parent")
-    return pointer, done.where("ended AND u <> v").select("u", "v").distinct()
+    return pointer, done.where("ended AND u <> v").select("u", "v").distinct(), done
 
 
 def _contract(edges: DataFrame, turn: int, scratch: Scratch) -> DataFrame:

@@ -21,11 +21,17 @@ def refined_classes(records: DataFrame, key: str, invariants: list[Column], exac
     """
     scratch = Scratch(records.sparkSession, "refine")
     rows = records.where(F.col(key).isNotNull()).select(key, *columns).withColumn("__class", F.lit(0).cast("long"))
+    before = None
     for i, invariant in enumerate(invariants):
         held = scratch.write(rows.withColumn("__class", F.xxhash64("__class", invariant)), f"level{i}")
+        if before is not None:
+            scratch.drop(before)
+        before = held
         counts = held.groupBy("__class").agg(F.count(F.lit(1)).alias("__n"))
         rows = salted_join(held, counts.where("__n > 1").select("__class"), ["__class"], "left_semi", spread=F.xxhash64(key), hot=hottest(counts, ["__class"], "__n"))
     rows = scratch.write(rows.select(F.col(key), exact.alias("record")).where("record IS NOT NULL"), "exact")
+    if before is not None:
+        scratch.drop(before)
     groups = rows.groupBy("record").agg(F.min(key).alias("first_key"), F.count_distinct(key).alias("copies"), F.count(F.lit(1)).alias("__n")).where("copies > 1")
     return salted_join(rows, groups.drop("__n"), ["record"], spread=F.xxhash64(key), hot=hottest(groups, ["record"], "__n")).distinct()
 
