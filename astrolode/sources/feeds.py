@@ -93,7 +93,7 @@ def reconcile(df: DataFrame, key: str, stated: int) -> dict[str, int]:
 def resumed(spark: SparkSession, path: str, schema: str, folder: str, *, rows: int) -> int:
     """Load the next ``rows`` lines of a dump of one object per line into a table, after those loaded before; the number loaded.
 
-    Lines are numbered by their place in the file; how many were loaded is read back from the names of the parts in
+    Lines are numbered by their place in the file, from counts per split of it; how many were loaded is read back from the names of the parts in
     ``folder``, each of which appears as a whole. A call after a failure goes on where the last whole part ended; 0 says
     that all is loaded.
     """
@@ -106,7 +106,15 @@ def resumed(spark: SparkSession, path: str, schema: str, folder: str, *, rows: i
     for p in held:
         if p.getName() not in whole:
             fs.delete(p, True)
-    lines = spark.read.text(path).select("value", F.col("_metadata.row_index").alias("__no")).where((F.col("__no") >= skip) & (F.col("__no") < skip + rows))
+    text = spark.read.text(path).select("value", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    offset, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in text.groupBy("__part").agg(F.count(F.lit(1))).collect()):  # one number per split of the file
+        offsets.append((part, offset))
+        offset += n
+    if not offset:
+        return 0
+    first = F.broadcast(spark.createDataFrame(offsets, "__part int, __first long"))
+    lines = text.join(first, "__part").withColumn("__no", F.col("__first") + F.col("__at")).where((F.col("__no") >= skip) & (F.col("__no") < skip + rows))
     n = lines.count()
     if not n:
         return 0

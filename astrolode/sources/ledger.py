@@ -13,29 +13,48 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import file_system, read_text, write_text
+
 MANIFEST = "role string, table_name string, source string, bytes long, rows long, is_delta boolean, loaded_at timestamp"
 
 
-def fingerprint(path: str) -> dict[str, object]:
-    """Size, time of change and hash of all of a file's bytes, read in blocks."""
-    stat = os.stat(path)
-    with open(path, "rb") as f:
-        return {"bytes": stat.st_size, "changed": int(stat.st_mtime), "hash": hashlib.file_digest(f, "sha256").hexdigest()[:16]}
+def fingerprint(path: str, spark: SparkSession | None = None) -> dict[str, object]:
+    """Size, time of change and a hash of all of a file's content.
+
+    With a session the file may lie in any file system that Spark reads; its lines are hashed where they are read, so a
+    change of one line or of their number shows, though not of their order alone. Without one it is a local file, read
+    in blocks.
+    """
+    if spark is None:
+        stat = os.stat(path)
+        with open(path, "rb") as f:
+            return {"bytes": stat.st_size, "changed": int(stat.st_mtime), "hash": hashlib.file_digest(f, "sha256").hexdigest()[:16]}
+    fs, jpath = file_system(spark, path)
+    status = fs.getFileStatus(jpath(path))
+    n, total = spark.read.text(path).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.lit(0))).first()
+    return {"bytes": status.getLen(), "changed": status.getModificationTime() // 1000, "hash": f"{n}:{total}"}
+
 
+def needs_load(path: str, state: str, least_bytes: int = 1, spark: SparkSession | None = None) -> bool:
+    """Whether a file differs from what is noted in the state file; files below least_bytes are refused.
 
-def needs_load(path: str, state: str, least_bytes: int = 1) -> bool:
-    """Whether a file differs from what is noted in the state file; files below least_bytes are refused."""
-    now = fingerprint(path)
+    With a session both may lie in any file system that Spark reads.
+    """
+    now = fingerprint(path, spark)
     if now["bytes"] < least_bytes:
         raise ValueError(f"{path} has {now['bytes']} bytes; at least {least_bytes} were expected")
-    held = json.loads(Path(state).read_text()) if os.path.exists(state) else None
-    return held != now
+    text = read_text(spark, state) if spark else Path(state).read_text() if os.path.exists(state) else None
+    return text is None or json.loads(text) != now
 
 
-def note_load(path: str, state: str) -> None:
+def note_load(path: str, state: str, spark: SparkSession | None = None) -> None:
     """Note a file as loaded, by a rename that is all or nothing."""
+    text = json.dumps(fingerprint(path, spark))
+    if spark:
+        write_text(spark, state, text)
+        return
     part = f"{state}.part"
-    Path(part).write_text(json.dumps(fingerprint(path)))
+    Path(part).write_text(text)
     os.replace(part, state)
 
 

@@ -109,3 +109,32 @@ def numbered(df: DataFrame, scratch: Scratch, name: str, position: str = "row_no
     out._astrolode_path = table._astrolode_path
     out._astrolode_rows = offset
     return out
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system that a path lies in, wherever that is, and the class of its paths."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    return jpath(path).getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, in order; nothing if it isn't there."""
+    fs, jpath = file_system(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(jpath(path))) if fs.exists(jpath(path)) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears with its whole content, by renaming; an older one is replaced."""
+    fs, jpath = file_system(spark, path)
+    out = fs.create(jpath(path + ".new"), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(jpath(path), False)
+    if not fs.rename(jpath(path + ".new"), jpath(path)):
+        raise OSError(f"can't write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; None if it isn't there."""
+    fs, jpath = file_system(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(jpath(path)) else None

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import file_system, listed, read_text, write_text
+
 # The fields that are read from an event, of any kind; absent ones are null.
 EVENT = "timestamp string, event string, SystemAddress long, StarSystem string, StarClass string, StarPos array<double>, BodyID long, BodyName string, BodyCount long, Landable boolean, Signals array<struct<Type:string,Count:long>>, Genuses array<struct<Genus:string>>, Species string, ScanType string, Name string, Latitude double, Longitude double"
 
@@ -139,52 +141,32 @@ def upsert_into(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], e
         finally:
             batch.unpersist()
         folders = state["folders"] | {str(b): f"{new}/__bucket={b}" for b in touched}
-        _write_text(spark, f"{path}/versions/{version + 1:012d}.json", json.dumps({"folders": folders, "batches": state["batches"] | {query: number}}))
+        write_text(spark, f"{path}/versions/{version + 1:012d}.json", json.dumps({"folders": folders, "batches": state["batches"] | {query: number}}))
         _prune(spark, path, keep)
 
     return sink
 
 
-def _fs(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    return jpath(path).getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    fs, jpath = _fs(spark, path)
-    return sorted(s.getPath().toString() for s in fs.listStatus(jpath(path))) if fs.exists(jpath(path)) else []
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """The file appears with its whole content, by renaming."""
-    fs, jpath = _fs(spark, path)
-    out = fs.create(jpath(path + ".new"), True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not fs.rename(jpath(path + ".new"), jpath(path)):
-        raise OSError(f"can't write {path}")
-
-
 def _newest(spark: SparkSession, path: str) -> tuple[int, dict]:
-    done = [p for p in _listed(spark, f"{path}/versions") if p.endswith(".json")]
+    done = [p for p in listed(spark, f"{path}/versions") if p.endswith(".json")]
     if not done:
         return 0, {"folders": {}, "batches": {}}
-    return int(done[-1][-17:-5]), json.loads(spark.read.text(done[-1], wholetext=True).first()[0])
+    return int(done[-1][-17:-5]), json.loads(read_text(spark, done[-1]))
 
 
 def _read(spark: SparkSession, path: str, state: dict, empty: str, buckets: list[int] | None = None) -> DataFrame:
-    fs, jpath = _fs(spark, path)
+    fs, jpath = file_system(spark, path)
     wanted = [f for b, f in state["folders"].items() if (buckets is None or int(b) in buckets) and fs.exists(jpath(f))]  # a bucket may have become empty
     return spark.read.schema(empty).parquet(*wanted) if wanted else spark.createDataFrame([], empty)
 
 
 def _prune(spark: SparkSession, path: str, keep: int) -> None:
-    fs, jpath = _fs(spark, path)
-    versions = [p for p in _listed(spark, f"{path}/versions") if p.endswith(".json")]
-    used = {f.rsplit("/", 2)[-2] for p in versions[-keep:] for f in json.loads(spark.read.text(p, wholetext=True).first()[0])["folders"].values()}
+    fs, jpath = file_system(spark, path)
+    versions = [p for p in listed(spark, f"{path}/versions") if p.endswith(".json")]
+    used = {f.rsplit("/", 2)[-2] for p in versions[-keep:] for f in json.loads(read_text(spark, p))["folders"].values()}
     for p in versions[:-keep]:
         fs.delete(jpath(p), False)
-    for folder in _listed(spark, f"{path}/data"):
+    for folder in listed(spark, f"{path}/data"):
         if folder.rsplit("/", 1)[-1] not in used:
             fs.delete(jpath(folder), True)
 

@@ -166,3 +166,15 @@ def test_inferred_resumed_attached_copied(spark, tmp_path):
     assert rows(report.select("column", "same")) == [("id", True), ("t", True)] and spark.read.parquet(str(tmp_path / "copy")).count() == 101
     df.write.parquet(str(tmp_path / "tables/things.parquet"))
     assert sinks.attach(spark, str(tmp_path / "tables"), "other") == ["other_things"] and spark.table("other_things").count() == 101
+
+
+def test_fingerprints_through_the_session(spark, tmp_path):
+    feed, state = tmp_path / "f.txt", f"file://{tmp_path}/f.state"
+    feed.write_text("a\nb\n")
+    assert ledger.needs_load(f"file://{feed}", state, spark=spark)
+    ledger.note_load(f"file://{feed}", state, spark)
+    assert not ledger.needs_load(f"file://{feed}", state, spark=spark)
+    at = os.stat(feed).st_mtime
+    feed.write_text("a\nc\n")
+    os.utime(feed, (at, at))
+    assert ledger.needs_load(f"file://{feed}", state, spark=spark)
