@@ -85,6 +85,10 @@ class Scratch:
         if path:
             _delete(self.spark, path)
 
+    def drop_folder(self, path: str) -> None:
+        """Delete a folder below path() that nothing reads any more."""
+        _delete(self.spark, path)
+
     def clear(self) -> None:
         _delete(self.spark, self.root)
 
