@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..operators.skew import hottest, in_order, salted_join
 from ..storage import Scratch, numbered
 
+_WALK = "start long, came long, at long, back long, rank long, least long, ended boolean, turn int"
+_NUMBER = itertools.count()
+
 #: The smaller end of an edge first.
 _ORDERED = ["least(u, v) AS u", "greatest(u, v) AS v"]
 
@@ -142,30 +145,26 @@ def _chains(near: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Da
     """
     chain = near.where("degree = 2")
     one = lambda came, to: F.struct(F.col("vertex").alias("start"), F.col(came).alias("came"), F.col(to).alias("at"), F.col("vertex").alias("back"), F.lit(1).cast("long").alias("rank"), F.least("vertex", to).alias("least"), F.lit(False).alias("ended"))
-    first = going = scratch.write(chain.select(F.inline(F.array(one("low", "high"), one("high", "low")))), "walks")
-    ended: list[DataFrame] = []
-    spent = [first]
-    before = None
+    folder, turn, before = scratch.path(f"walks{next(_NUMBER)}"), 0, None
+    chain.select(F.inline(F.array(one("low", "high"), one("high", "low")))).write.parquet(f"{folder}/turn=0")
     while True:
-        all_walks = reduce(DataFrame.unionByName, ended, going)
-        onward = all_walks.select(F.col("start").alias("at"), F.col("came").alias("back"), F.col("at").alias("at2"), F.col("back").alias("back2"), F.col("rank").alias("rank2"), F.col("least").alias("least2"), F.col("ended").alias("ended2"))
-        new = going.join(onward, ["at", "back"], "left").select(
+        # walks that ended are read where they were written; of the others only the last turn's are
+        held = near.sparkSession.read.schema(_WALK).parquet(folder).where(F.col("ended") | (F.col("turn") == turn))
+        onward = held.select(F.col("start").alias("at"), F.col("came").alias("back"), F.col("at").alias("at2"), F.col("back").alias("back2"), F.col("rank").alias("rank2"), F.col("least").alias("least2"), F.col("ended").alias("ended2"))
+        new = held.where(~F.col("ended")).join(onward, ["at", "back"], "left").select(
             "start", "came", F.coalesce("at2", "at").alias("at"), F.coalesce("back2", "back").alias("back"), (F.col("rank") + F.coalesce("rank2", F.lit(0))).alias("rank"),
             F.least("least", F.coalesce("least2", "least")).alias("least"), F.coalesce("ended2", F.lit(True)).alias("ended"),
         )
-        new = scratch.write(new, "walks")
-        spent.append(new)
-        state = tuple(new.where("NOT ended").agg(F.count(F.lit(1)), F.sum(F.col("least").cast("decimal(38,0)"))).first())
-        ended.append(new.where("ended"))
-        going = new.where("NOT ended")
+        turn += 1
+        new.write.parquet(f"{folder}/turn={turn}")
+        walks = near.sparkSession.read.schema(_WALK).parquet(folder).where(F.col("ended") | (F.col("turn") == turn))
+        state = tuple(walks.where("NOT ended").agg(F.count(F.lit(1)), F.sum(F.col("least").cast("decimal(38,0)"))).first())
         if not state[0] or state == before:  # only rings go on for ever; their least vertices no longer change
             break
         before = state
-    walks = reduce(DataFrame.unionByName, ended, going)
     done = walks.groupBy("start").agg(F.min("at").alias("u"), F.max("at").alias("v"), F.bool_and("ended").alias("ended"), F.min("least").alias("least"))
     done = scratch.write(done, "ended")
-    for table in spent:
-        scratch.drop(table)
+    scratch.drop_folder(folder)
     pointer = done.select(F.col("start").alias("child"), F.when(F.col("ended"), F.col("u")).otherwise(F.col("least")).alias("parent")).where("child <> parent")
     return pointer, done.where("ended AND u <> v").select("u", "v").distinct(), done
 
