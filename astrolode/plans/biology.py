@@ -91,4 +91,7 @@ SQL = {
     "p6_samples": f"""WITH {_JSON}, m AS (SELECT record_id, pos, child, el -> '$.samples' AS j FROM i3 WHERE f = 'genuses' AND json_type(el) = 'OBJECT' AND json_exists(el, '$.samples')),
         n AS (SELECT record_id, pos, child, unnest(c) AS el, generate_subscripts(c, 1) - 1 AS i FROM (SELECT *, CASE json_type(j) WHEN 'ARRAY' THEN j::JSON[] ELSE [] END AS c FROM m))
         SELECT DISTINCT record_id, pos || '/' || child AS parent, pos || '/' || child || '/' || i AS element, CAST(NULL AS VARCHAR) AS bare, el ->> '$.lat' AS lat, el ->> '$.lon' AS lon FROM n WHERE el IS NOT NULL AND json_type(el) <> 'NULL'""",
+    "p6_genuses": f"""WITH {_JSON} SELECT record_id, '' AS parent, CAST(pos AS VARCHAR) AS element, CASE WHEN json_type(el) <> 'OBJECT' THEN el ->> '$' END AS bare, CASE WHEN json_type(el -> '$.genus') <> 'OBJECT' THEN el ->> '$.genus' END AS genus,
+        el ->> '$.genus.name' AS genus_name, el ->> '$.genus.seen.by' AS seen_by, CASE WHEN json_type(el -> '$.Genus') <> 'OBJECT' THEN el ->> '$.Genus' END AS genus_2, el ->> '$.Genus_Localised' AS localised, CASE WHEN json_type(el -> '$.name') <> 'OBJECT' THEN el ->> '$.name' END AS name
+        FROM o WHERE f = 'genuses' UNION SELECT record_id, '', CAST(pos AS VARCHAR), item, NULL, NULL, NULL, NULL, NULL, NULL FROM plain WHERE f = 'genuses'""",
 }
