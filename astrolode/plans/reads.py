@@ -152,7 +152,7 @@ def cells_around(spark: S, folder: str) -> DataFrame:
 
 @query(f"""WITH {_PLACE}, d AS (SELECT floor(x / 500)::BIGINT AS i, floor(z / 500)::BIGINT AS j, count(*) AS n FROM place GROUP BY ALL), spot AS (SELECT DISTINCT callsign, (x - 250) / 500 AS u, (z - 250) / 500 AS v FROM carrier_position WHERE x IS NOT NULL AND z IS NOT NULL),
            corner AS (SELECT callsign, u, v, a.di, b.dj FROM spot, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj))
-           SELECT callsign, u, v, round(sum(coalesce(n, 0) * CASE di WHEN 1 THEN u - floor(u) ELSE 1 - u + floor(u) END * CASE dj WHEN 1 THEN v - floor(v) ELSE 1 - v + floor(v) END), 7) AS density
+           SELECT callsign, u, v, round(sum(coalesce(n, 0) * CASE di WHEN 1 THEN u - floor(u) ELSE 1 - u + floor(u) END * CASE dj WHEN 1 THEN v - floor(v) ELSE 1 - v + floor(v) END), 2) AS density
            FROM corner LEFT JOIN d ON d.i = floor(u)::BIGINT + di AND d.j = floor(v)::BIGINT + dj GROUP BY ALL""")
 def density_sampled(spark: S, folder: str) -> DataFrame:
     """The density at a place, bilinear between the middles of the four cells around it."""
@@ -161,7 +161,7 @@ def density_sampled(spark: S, folder: str) -> DataFrame:
     fu, fv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
     part = lambda di, dj: F.struct((F.floor("u") + di).alias("i"), (F.floor("v") + dj).alias("j"), ((fu if di else 1 - fu) * (fv if dj else 1 - fv)).alias("w"))
     corners = at.select("callsign", "u", "v", F.inline(F.array(*[part(a, b) for a in (0, 1) for b in (0, 1)])))
-    return salted_join(corners, d, ["i", "j"], "left").groupBy("callsign", "u", "v").agg(F.round(F.sum(F.coalesce("n", F.lit(0)) * F.col("w")), 7).alias("density"))
+    return salted_join(corners, d, ["i", "j"], "left").groupBy("callsign", "u", "v").agg(F.round(F.sum(F.coalesce("n", F.lit(0)) * F.col("w")), 2).alias("density"))
 
 
 # --- what a system holds -------------------------------------------------------------------------------------------
